@@ -1,0 +1,42 @@
+"""Tables written to the folder that driver and executors share.
+
+Cutting lineage here survives lost executors: the files belong to no executor.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder of this application under ``spark.checkpoint.dir``.
+
+    Only where the setting is unset (local runs, tests) a temporary folder of
+    this machine takes its place, once for a session.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("loomery.scratch.dir", None)
+        if not root:
+            root = "file://" + tempfile.mkdtemp(prefix="loomery-")
+            spark.conf.set("loomery.scratch.dir", root)
+    return f"{root.rstrip('/')}/loomery-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet and return a reader of what was written."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
