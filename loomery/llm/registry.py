@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomery.llm.scratch import table
+from loomery.llm.simhash import near_duplicates
+from loomery.llm.substrings import remove_repeated_windows
 from loomery.llm.tokens import count_tokens
 
 
@@ -15,8 +18,40 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_tokens=1024)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated_windows(table(spark, sf_dir, "documents"), window=20)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, s, array_to_string(words[s + 1 : s + 20], ' ') AS w
+  FROM (SELECT doc_id, words, unnest(range(len(words) - 19)) AS s FROM docs)),
+hits AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, rank() OVER (PARTITION BY w ORDER BY doc_id, s) AS place FROM windows) WHERE place > 1),
+cut AS (SELECT DISTINCT doc_id, s + k AS p FROM (SELECT doc_id, s, unnest(range(20)) AS k FROM hits)),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS p FROM docs),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+  FROM placed ANTI JOIN cut USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), budget=3, shingle=3, seed=42)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_substring_dedup": OP7_SQL,
+}
