@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm.crf import held_out, score_quality, train
+from loomery.llm.mixing import mix_sources, word_count
 from loomery.llm.scratch import table
+from loomery.llm.sharding import shard_rows
 from loomery.llm.simhash import near_duplicates
 from loomery.llm.substrings import remove_repeated_windows
 from loomery.llm.tokens import count_tokens
@@ -20,6 +22,57 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_tokens=1024)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    size = (F.octet_length(text) + 1).cast("long")
+    rows = table(spark, sf_dir, "documents").select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return shard_rows(rows, shards=16).select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
+def document_key() -> Column:
+    """The id in digits; for a row without an id, its text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.coalesce("text", F.lit(""))))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mix_sources(docs, (5, 2, 1), (3, 2), 2, "source", word_count("text"), document_key(), ["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP5_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '?' || coalesce(text, ''))), 1, 15))::BIGINT AS place
+  FROM documents),
+sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS weight FROM docs GROUP BY source),
+ordered AS (
+  SELECT *, 2 * source_size AS full_size, sum(source_size) OVER ()::BIGINT AS all_size, sum(weight) OVER ()::BIGINT AS all_weight,
+         coalesce(sum(2 * source_size) OVER before, 0)::BIGINT AS full_before, coalesce(sum(weight) OVER before, 0)::BIGINT AS weight_before
+  FROM sizes WINDOW before AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+filled AS (
+  SELECT *, 2 * full_size * (all_weight - weight_before) <= weight * (3 * all_size - 2 * full_before) AS is_full FROM ordered),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN is_full THEN full_size::DOUBLE
+              ELSE (weight * (3 * all_size - 2 * coalesce(sum(full_size) FILTER (is_full) OVER (), 0)::BIGINT))::DOUBLE
+                   / nullif(2 * coalesce(sum(weight) FILTER (NOT is_full) OVER (), 0)::BIGINT, 0)::DOUBLE END AS target
+  FROM filled),
+wholes AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS n FROM targets),
+groups AS (
+  SELECT source, place, sum(size)::BIGINT AS s,
+         coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS below
+  FROM docs GROUP BY source, place)
+SELECT doc_id, size, source_size, target,
+       (size * (n + (2 * (n * source_size + below) + s <= 2 * target)::INT))::BIGINT AS taken
+FROM docs JOIN wholes w ON docs.source IS NOT DISTINCT FROM w.source
+JOIN groups g ON docs.source IS NOT DISTINCT FROM g.source AND docs.place = g.place
+"""
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeated_windows(table(spark, sf_dir, "documents"), window=20)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -98,6 +151,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op4_sharding": op4_sharding,
+    "op5_source_mixing": op5_source_mixing,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
@@ -105,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_source_mixing": OP5_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op9_benchmark_decontamination": OP9_SQL,
 }
