@@ -9,7 +9,7 @@ short window that both documents hashed (it starts at most 12 words in, and
 
 1. anchors: 4 of 13 positions, one shuffle by their hash; repeated ones are kept;
 2. extension: each window of 20 words around a repeated anchor is hashed with
-   128 bits and sent by that hash; all but the earliest (document, start) are hits;
+   96 bits and sent by that hash; all but the earliest (document, start) are hits;
 3. the hits of a document are laid over its words.
 
 No pairs are formed. Equal hashes within one batch of a task are settled there:
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.llm.scratch import save
 from loomery.llm.words import FACTOR_A, FACTOR_B, groups, hash_words, mix, run_hashes, slices
 
 PERIOD = 13
@@ -66,10 +67,9 @@ def _kinds(keys: list[np.ndarray], key_id: np.ndarray, pos: np.ndarray) -> tuple
     return order, kind
 
 
-def _salted(key: np.ndarray, kind: np.ndarray, key_id: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Later ones are settled; they are dealt out by where they are, not by what they hold."""
-    where = mix(key_id.view(np.uint64) * np.uint64(FACTOR_B) + pos.view(np.uint64))
-    return np.where(kind == LATER, where, key).view(np.int64)
+def _dealt(key: np.ndarray, kind: np.ndarray, key_id: np.ndarray) -> np.ndarray:
+    """Later ones are settled; they are dealt out by their document, not by what they hold."""
+    return np.where(kind == LATER, mix(key_id.view(np.uint64)), key).view(np.int64)
 
 
 def _anchors(window: int) -> Callable:
@@ -88,7 +88,7 @@ def _anchors(window: int) -> Callable:
                 order, kind = _kinds([key], own, pos)
                 key, pos, own = key[order], pos[order], own[order]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_salted(key, kind, own, pos)), pa.array(own), pa.array(pos * 4 + kind)], ["key", "id", "at"]
+                    [pa.array(_dealt(key, kind, own)), pa.array(own), pa.array(pos * 4 + kind)], ["key", "id", "at"]
                 )
 
     return run
@@ -117,14 +117,13 @@ def _extended(window: int) -> Callable:
                 pos, own, tag = pos[order], own[order], tag[order]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(_salted(keys[0][order], kind, own, pos)),
-                        pa.array(keys[1][order].view(np.int64)),
+                        pa.array(_dealt(keys[0][order], kind, own)),
+                        pa.array(np.where(kind == LATER, 0, (keys[1][order] >> np.uint64(32))).astype(np.uint32).view(np.int32)),
                         pa.array(own),
-                        pa.array(pos),
+                        pa.array(pos * 4 + kind),
                         pa.array(tag),
-                        pa.array(kind == LATER),
                     ],
-                    ["key", "key2", "id", "at", "tag", "later"],
+                    ["key", "key2", "id", "at", "tag"],
                 )
 
     return run
@@ -160,7 +159,8 @@ def remove_repeated_windows(df: DataFrame, window: int = 20, id_col: str = "doc_
     """Cut every word that a window covers whose words also start earlier.
 
     Earlier: in a smaller id, or in the same document at an earlier start;
-    windows are judged on the input. One row for each row of ``df``: the id,
+    windows are judged on the input. The first step runs when this is called, and
+    its anchors are written to the shared folder. One row for each row of ``df``: the id,
     ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by a space).
 
     ``window`` is at least 14 words. A null or empty text has no words. A null
@@ -176,14 +176,15 @@ def remove_repeated_windows(df: DataFrame, window: int = 20, id_col: str = "doc_
     sent = docs.mapInArrow(_anchors(window), "key long, id long, at long")
     times = F.count(F.lit(1)).over(Window.partitionBy("key"))
     repeated = sent.withColumn("times", times).where((F.col("times") > 1) | (F.col("at") % 4 != ALONE))
-    anchors = repeated.groupBy("id").agg(F.collect_list((F.col("at") / 4).cast("int")).alias("anchors"))
+    position = F.shiftright("at", 2).cast("int")
+    anchors = save(repeated.groupBy("id").agg(F.collect_list(position).alias("anchors")), "anchors")
 
-    tag = F.xxhash64("text").alias("tag")
+    tag = F.hash("text").alias("tag")
     near = docs.join(anchors, "id").select("id", "text", tag, "anchors")
-    windows = near.mapInArrow(_extended(window), "key long, key2 long, id long, at long, tag long, later boolean")
+    windows = near.mapInArrow(_extended(window), "key long, key2 int, id long, at long, tag int")
     earlier = F.rank().over(Window.partitionBy("key", "key2").orderBy("id", "at"))
-    hits = windows.withColumn("place", earlier).where((F.col("place") > 1) | F.col("later"))
-    hits = hits.groupBy("id").agg(F.collect_list(F.struct(F.col("tag"), F.col("at").cast("int").alias("at"))).alias("hits"))
+    hits = windows.withColumn("place", earlier).where((F.col("place") > 1) | (F.col("at") % 4 == LATER))
+    hits = hits.groupBy("id").agg(F.collect_list(F.struct("tag", position.alias("at"))).alias("hits"))
 
     whole = docs.join(hits, "id", "left").select("id", "text", tag, "hits")
     cut = whole.mapInArrow(_cut(window), "id long, n_words long, n_removed long, kept_text binary")
