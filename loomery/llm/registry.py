@@ -15,6 +15,7 @@ from loomery.llm.sharding import shard_rows
 from loomery.llm.simhash import near_duplicates
 from loomery.llm.substrings import remove_repeated_windows
 from loomery.llm.tokens import count_tokens
+from loomery.llm.warc import archive_pages
 from loomery.llm.winnowing import find_contamination
 
 
@@ -73,6 +74,19 @@ JOIN groups g ON docs.source IS NOT DISTINCT FROM g.source AND docs.place = g.pl
 """
 
 
+def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"), least_bytes=100).drop("payload")
+
+
+OP6_SQL = """
+SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
+       CASE WHEN bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS bytes, sha256(coalesce(html, '')) AS digest,
+             min(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) AS first FROM pages)
+"""
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeated_windows(table(spark, sf_dir, "documents"), window=20)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -153,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_sharding": op4_sharding,
     "op5_source_mixing": op5_source_mixing,
+    "op6_warc_normaliser": op6_warc_normaliser,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
@@ -161,6 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_source_mixing": OP5_SQL,
+    "op6_warc_normaliser": OP6_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op9_benchmark_decontamination": OP9_SQL,
 }
