@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomery.llm.crf import held_out, score_quality, train
 from loomery.llm.mixing import mix_sources, word_count
+from loomery.llm.rules import judge
 from loomery.llm.scratch import table
 from loomery.llm.sharding import shard_rows
 from loomery.llm.simhash import near_duplicates
@@ -23,6 +24,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_tokens=1024)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents"), ["doc_id"])
+    figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *figures, "base_failed", "kept")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     size = (F.octet_length(text) + 1).cast("long")
@@ -165,6 +172,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
     "op5_source_mixing": op5_source_mixing,
     "op6_warc_normaliser": op6_warc_normaliser,
