@@ -239,4 +239,5 @@ def near_duplicates(
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = linked.join(least, "root").select("fp", "least")
     found = first.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    found = save(found, "fingerprint-components")  # so that the last join can split a fingerprint of many rows
     return prints.join(found, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
