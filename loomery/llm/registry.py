@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm.crf import held_out, score_quality, train
+from loomery.llm.lines import dedup_lines
 from loomery.llm.mixing import mix_sources, word_count
 from loomery.llm.rules import judge
 from loomery.llm.scratch import table
@@ -24,6 +25,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_tokens=1024)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = dedup_lines(table(spark, sf_dir, "documents"), threshold=0.8, shingle=5)
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"), ["doc_id"])
     figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -172,6 +178,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
     "op5_source_mixing": op5_source_mixing,
