@@ -163,12 +163,12 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.binary()), pa.array([y for _, y in kept], pa.int32())], ["x", "label"])
 
 
-def _scoring(field: Field) -> Callable:
+def _scoring(field: Field, name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [field.scores(texts) for _, texts in groups(batch.column(0))]
             scores = pa.array(np.concatenate(parts) if parts else np.empty(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], [*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], [*batch.schema.names[1:], name])
 
     return run
 
@@ -197,13 +197,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def score_quality(df: DataFrame, field: Field, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``score``, 0 to 1, for each row of ``df``; one pass, no shuffle.
+def score_quality(df: DataFrame, field: Field, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The columns ``keep`` and the score, 0 to 1, of each row of ``df``; one pass, no shuffle.
 
     A null text counts as empty, and an empty text is one empty line, so each
-    row has a score. ``keep`` must not hold a column named ``score``.
+    row has a score. ``score_col`` must not be the name of a column in ``keep``.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     rows = df.select(F.col(text_col).cast("binary").alias("__text"), *keep)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"])
-    return rows.mapInArrow(_scoring(field), schema)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{score_col}` double"])
+    return rows.mapInArrow(_scoring(field, score_col), schema)

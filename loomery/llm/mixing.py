@@ -68,25 +68,24 @@ def _below(sums: DataFrame, by: str) -> DataFrame:
 def mix_sources(
     df: DataFrame, weights: tuple[int, ...], volume: tuple[int, int], most: int, source_col: str, size: Column, key: Column, keep: list[str]
 ) -> DataFrame:
-    """The columns ``keep``, ``size``, ``source_size``, ``target``, ``repeats``, ``taken`` of every row.
+    """The columns ``keep``, ``__size``, ``__source_size``, ``__target``, ``__repeats``, ``__taken`` of every row.
 
-    ``repeats`` is how often the mix takes the row, at most ``most``; ``taken``
-    is that times its size. The words a source takes are the nearest to its
+    ``__repeats`` is how often the mix takes the row, at most ``most``;
+    ``__taken`` is that times its size. The words a source takes are the nearest to its
     target that whole rows in order of their places can give, so they miss it by
     at most half a row's size. Rows of equal ``key`` in a source go together.
     The same rows give the same mix on every run.
 
     A null source is a source of its own; a null size counts as 0; a source
     without size has target 0. There is one row for each row of ``df``; an
-    empty table gives none. ``keep`` holds none of the names above.
+    empty table gives none. No column of ``keep`` has a name with leading ``__``.
 
-    The thin table of places and sizes is written once; the per-source table is
-    broadcast only where its files are under Spark's broadcast threshold, and
-    else joined by a shuffle that may split a large source.
+    Only a thin table of sources, sizes and places is written. The per-source
+    table is broadcast only where its files are under Spark's broadcast
+    threshold, and else joined by a shuffle that may split a large source.
     """
-    thin = df.select(*keep, F.col(source_col).alias("__source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), place_of(key).alias("__place"))
-    thin = save(thin, "places")
-    rows = thin.select(F.col("__source").alias("source"), "size", F.col("__place").alias("place"))
+    size, place = F.coalesce(size, F.lit(0)).cast("long"), place_of(key)
+    rows = save(df.select(F.col(source_col).alias("source"), size.alias("size"), place.alias("place")), "places")
     shift = PLACE_BITS - STEP
     sums = rows.groupBy("source", F.shiftright("place", shift).alias("bucket")).agg(F.sum("size").alias("size"))
     sums = save(sums, "histogram")
@@ -124,6 +123,9 @@ def mix_sources(
     limit = limit.select(F.col("source").alias("s"), "limit")
     plan = sources.join(limit, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "base")
     plan = save(plan.withColumn("limit", F.coalesce("limit", F.lit(-1).cast("long"))), "thresholds")
-    mixed = thin.join(plan, thin["__source"].eqNullSafe(plan["source"]))
-    repeats = F.col("whole") + (F.col("__place") <= F.col("limit")).cast("long")
-    return mixed.select(*keep, "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"))
+    plan = plan.toDF(*[f"__{c}" for c in plan.columns])
+    marked = df.select(*keep, F.col(source_col).alias("__from"), size.alias("__size"), place.alias("__place"))
+    mixed = marked.join(plan, F.col("__from").eqNullSafe(F.col("__source")))
+    repeats = F.col("__whole") + (F.col("__place") <= F.col("__limit")).cast("long")
+    mixed = mixed.select(*keep, "__size", "__source_size", "__target", repeats.alias("__repeats"))
+    return mixed.withColumn("__taken", F.col("__size") * F.col("__repeats"))

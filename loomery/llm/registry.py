@@ -18,7 +18,7 @@ from loomery.llm.simhash import near_duplicates
 from loomery.llm.substrings import remove_repeated_windows
 from loomery.llm.tokens import count_tokens
 from loomery.llm.warc import archive_pages
-from loomery.llm.winnowing import find_contamination
+from loomery.llm.winnowing import find_contamination, is_contaminated
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def document_key() -> Column:
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mix_sources(docs, (5, 2, 1), (3, 2), 2, "source", word_count("text"), document_key(), ["doc_id"])
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
 OP5_SQL = r"""
@@ -131,14 +131,14 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"], window=13)
     return found.select(
         "doc_id",
-        "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        F.col("__n_words").alias("n_words"),
+        F.col("__n_hit").alias("n_hit"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "__items"), 256).alias("items_sha256"),
+        is_contaminated().alias("contaminated"),
     )
 
 

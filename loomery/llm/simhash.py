@@ -241,3 +241,24 @@ def near_duplicates(
     found = first.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     found = save(found, "fingerprint-components")  # so that the last join can split a fingerprint of many rows
     return prints.join(found, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each_group(df: DataFrame, budget: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of ``df`` with the smallest id in each component of near duplicates.
+
+    Ids order first, nulls last, then a hash of the whole row, so that rows
+    that share an id are still told apart; of fully equal rows one stays.
+    """
+    columns = df.columns
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*columns).alias("row"))
+    ranked = df.select(rank.alias("__rank"), F.col(text_col).alias("__text"))
+    found = near_duplicates(ranked, budget, shingle, seed, id_col="__rank", text_col="__text")
+    first = save(found.where(F.col("__rank") == F.col("component_id")).groupBy("__rank").count(), "kept-rows")
+    one = F.col("__rank")["row"]
+    chosen = df.select(*columns, F.xxhash64(*columns).alias("__row"), F.col(id_col).alias("__id"))
+    named = first.select(one.alias("__row"), F.col("__rank")["id"].alias("__of"))
+    match = (chosen["__row"] == named["__row"]) & F.col("__id").eqNullSafe(F.col("__of"))
+    kept = chosen.join(named, match, "left_semi")
+    if not first.where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["__row", "__id"])
+    return kept.select(*columns)

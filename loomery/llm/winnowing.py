@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm.scratch import save
@@ -137,19 +137,22 @@ def _past(block, more: bool) -> Callable:
         own = block.value
         for batch in batches:
             rows = batch.num_rows
-            before = batch.num_columns > 2
-            spans = [[(x["start"], x["end"]) for x in v] for v in batch.column(2).to_pylist()] if before else [[] for _ in range(rows)]
-            names = [set(v) for v in batch.column(3).to_pylist()] if before else [set() for _ in range(rows)]
+            titles, columns = batch.schema.names, batch.columns
+            at = titles.index("__text")
+            own_columns, own_titles = [*columns[:at]], titles[:at]
+            before = at + 1 < len(titles)
+            spans = [[(x["start"], x["end"]) for x in v] for v in columns[at + 1].to_pylist()] if before else [[] for _ in range(rows)]
+            names = [set(v) for v in columns[at + 2].to_pylist()] if before else [set() for _ in range(rows)]
             n_words = np.zeros(rows, np.int64)
-            for first, texts in groups(batch.column(1)):
+            for first, texts in groups(columns[at]):
                 each = [word_hashes(t) for t in texts]
                 sizes = np.array([len(x) for x in each], np.int64)
                 n_words[first : first + len(texts)] = sizes
                 starts = np.concatenate(([0], np.cumsum(sizes)))
                 doc = np.repeat(np.arange(len(each)), sizes)
                 left = starts[1:][doc] - np.arange(len(doc))
-                for n, at, items in own.hits(np.concatenate(each), left):
-                    for p, d, ids in zip(at.tolist(), doc[at].tolist(), items, strict=True):
+                for n, places, items in own.hits(np.concatenate(each), left):
+                    for p, d, ids in zip(places.tolist(), doc[places].tolist(), items, strict=True):
                         start = p - int(starts[d])
                         held = spans[first + d]
                         if held and held[-1][0] <= start <= held[-1][1]:
@@ -158,16 +161,14 @@ def _past(block, more: bool) -> Callable:
                             held.append((start, start + n))
                         names[first + d].update(own.names[i] for i in ids.tolist() if own.names[i] is not None)
             spans = [_merged(x) for x in spans]
-            columns = [
-                batch.column(0),
+            state = [
                 pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], SPANS),
                 pa.array([sorted(x) for x in names], pa.list_(pa.string())),
-                pa.array(n_words),
             ]
-            titles = ["id", "spans", "items", "n_words"]
             if more:
-                columns, titles = [columns[0], batch.column(1), *columns[1:3]], ["id", "text", "spans", "items"]
-            yield pa.RecordBatch.from_arrays(columns, titles)
+                yield pa.RecordBatch.from_arrays([*own_columns, columns[at], *state], [*own_titles, "__text", "__spans", "__items"])
+            else:
+                yield pa.RecordBatch.from_arrays([*own_columns, *state, pa.array(n_words)], [*own_titles, "__spans", "__items", "__n_words"])
 
     return run
 
@@ -187,37 +188,44 @@ def _blocks(items: DataFrame, block_bytes: int, window: int, gram: int) -> Itera
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
+    keep: list[str],
     window: int = 13,
     gram: int = 5,
     block_bytes: int = 4 << 20,
-    id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """One row for each row of ``docs``: the id, ``n_words``, ``n_hit``, ``items``, ``spans``.
+    """The columns ``keep`` and ``__n_words``, ``__n_hit``, ``__items``, ``__spans`` of each row of ``docs``.
 
     A window is ``window`` consecutive words of an item, or all of a shorter
-    item. ``spans`` are the merged word ranges [start, end) of a document that
-    windows cover, ``n_hit`` their words, ``items`` the ids, sorted as strings,
-    of the items that have a window there.
+    item. The spans are the merged word ranges [start, end) of a document that
+    windows cover, ``__n_hit`` is their words, ``__items`` the ids, sorted as
+    strings, of the items that have a window there.
 
     At most ``block_bytes`` of item text (and one item) are on the driver and
     broadcast at once. Null texts have no words. An item without an id hits but
     is not listed; rows of equal item id are one item in the list. Rows of
     ``docs`` with equal or null ids stay rows of their own. Other columns are
-    not read.
+    not read, and no column of ``keep`` has a name with leading ``__``.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     spark = docs.sparkSession
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    kept = [f"`{c}` {kinds[c]}" for c in keep]
+    found = docs.select(*keep, F.col(text_col).cast("binary").alias("__text"))
     items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("binary"))
-    state = "spans array<struct<start: bigint, end: bigint>>, items array<string>"
+    state = ["__spans array<struct<start: bigint, end: bigint>>", "__items array<string>"]
     blocks = _blocks(items, block_bytes, window, gram)
     block = next(blocks, Block([], window, gram))
     while (after := next(blocks, None)) is not None:
-        found = save(found.mapInArrow(_past(spark.sparkContext.broadcast(block), True), f"id {kind}, text binary, {state}"), "scanned")
+        schema = ", ".join([*kept, "__text binary", *state])
+        found = save(found.mapInArrow(_past(spark.sparkContext.broadcast(block), True), schema), "scanned")
         block = after
-    found = found.mapInArrow(_past(spark.sparkContext.broadcast(block), False), f"id {kind}, {state}, n_words long")
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return found.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "items", "spans")
+    found = found.mapInArrow(_past(spark.sparkContext.broadcast(block), False), ", ".join([*kept, *state, "__n_words long"]))
+    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select(*keep, "__n_words", n_hit.alias("__n_hit"), "__items", "__spans")
+
+
+def is_contaminated() -> Column:
+    """Hit, and at least one word in twenty is."""
+    return (F.col("__n_hit") > 0) & (20 * F.col("__n_hit") >= F.col("__n_words"))
