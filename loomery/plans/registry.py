@@ -6,12 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.sources.tables import load_table
+from loomery.plans import documents, graph, relational, streams, vectors
 
+PLANS = (documents, vectors, graph, relational, streams)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: q for p in PLANS for n, q in p.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {n: q for p in PLANS for n, q in p.ORACLE_SQL.items()}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_table(spark, sf_dir, "documents").groupBy("lang").count()
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+flagship = documents.bm25_top
