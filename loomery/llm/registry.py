@@ -12,7 +12,7 @@ from loomery.llm.crf import held_out, score_quality, train
 from loomery.llm.lines import dedup_lines
 from loomery.llm.mixing import mix_sources, word_count
 from loomery.llm.rules import judge
-from loomery.llm.scratch import table
+from loomery.sources.tables import load_table as table
 from loomery.llm.sharding import shard_rows
 from loomery.llm.simhash import near_duplicates
 from loomery.llm.substrings import remove_repeated_windows

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm.scratch import new_path, save
+from loomery.sources.scratch import new_path, save
 
 CHUNK, GZIP = 1 << 20, 31
 ID = "urn:x-page:"
