@@ -23,22 +23,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """
     both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = save(both.distinct(), "edges")
-    roots = None
+    steps = []
     for step in range(max_rounds):
         if both.isEmpty():
             break
         first = lambda c: F.struct(F.xxhash64(F.lit(step), F.col(c)).alias("h"), F.col(c).alias("n"))
         moves = both.groupBy("a").agg(F.min(first("b")).alias("m"))
-        moves = moves.select(F.col("a").alias("node"), F.least("m", first("a"))["n"].alias("to"))
-        moves = save(moves, "moves")
-        if roots is None:
-            roots = moves.withColumnRenamed("to", "root")
-        else:
-            after = roots.join(moves.withColumnRenamed("node", "root"), "root", "left")
-            roots = save(after.select(roots["node"], F.coalesce("to", "root").alias("root")), "roots")
+        moves = save(moves.select(F.col("a").alias("node"), F.least("m", first("a"))["n"].alias("to")), "moves")
+        steps.append(moves)
         at_a, at_b = moves.toDF("a", "to_a"), moves.toDF("b", "to_b")
         both = both.join(at_a, "a").join(at_b, "b").where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
         both = save(both.distinct(), "edges")
     else:
         raise RuntimeError("components did not settle")
-    return roots if roots is not None else both.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if not steps:
+        return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = steps[0].withColumnRenamed("to", "root")
+    for moves in steps[1:]:
+        after = roots.join(moves.withColumnRenamed("node", "root"), "root", "left")
+        roots = after.select(roots["node"], F.coalesce("to", "root").alias("root"))
+    return save(roots, "roots")
