@@ -52,7 +52,7 @@ def custom_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = spark.conf.get(key)
     spark.conf.set(key, ops.ROCKSDB)
     try:
-        return ops.run(ops.count_per_user(stream(spark, sf_dir)), "update")
+        return ops.run(ops.count_per_user(stream(spark, sf_dir)), "update", ["user_id"])
     finally:
         spark.conf.set(key, before)
 

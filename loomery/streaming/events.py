@@ -9,8 +9,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loomery.operators.documents import upsert
 from loomery.sources.scratch import new_path
@@ -23,22 +24,38 @@ def timed(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run(stream: DataFrame, mode: str) -> DataFrame:
+def run(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Run an available-now query to its end and return what it wrote.
 
-    In append mode the sink is Parquet in the shared folder. Complete and
-    update results replace each other, so the last batch's rows per key are
-    kept: complete mode only, through foreachBatch.
+    In append mode the sink is Parquet in the shared folder. Of a complete
+    query the last batch's rows stay. An update query's batches hold the keys
+    that changed: each is a folder of its own, ``batch=<number>``, and the rows
+    of the last batch that a key (of ``keys``) is in are returned.
     """
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys that later batches replace")
     spark = stream.sparkSession
     out, state = new_path(spark, "stream"), new_path(spark, "stream-checkpoint")
     writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).outputMode("append").start()
-    else:
-        query = writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
+        query.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}" if mode == "update" else out)
+        done.append(number)
+
+    query = writer.outputMode(mode).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(out)
+    last = F.max("batch").over(Window.partitionBy(*keys))
+    return rows.withColumn("__last", last).where("batch = __last").drop("batch", "__last")
 
 
 def tumbling(events: DataFrame, length: str, late: str = "1 hour") -> DataFrame:

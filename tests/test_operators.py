@@ -161,6 +161,14 @@ def test_sessions_of_a_stream_are_the_batch_sessions_that_closed(spark):
     assert all(starts > open_from for starts, _, _ in batch - streamed)
 
 
+def test_custom_state_keeps_the_users_of_all_batches(spark):
+    path = new_path(spark, "many-files")
+    rows = load_table(spark, "/root/testdata/sf0.001", "events")
+    rows.repartitionByRange(70, "user_id", "event_id").write.parquet(f"{path}/events.parquet")  # more files than a batch takes
+    got = {(r.user_id, r.n) for r in streams.custom_state(spark, path).collect()}
+    assert got == {(r.user_id, r["count"]) for r in rows.groupBy("user_id").count().collect()}
+
+
 def test_late_events_are_dropped(spark):
     got = sum(r.n for r in streams.late(spark, SF).collect())
     total = load_table(spark, SF, "events").where("event_id % 10 <> 0").count()
