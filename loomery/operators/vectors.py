@@ -175,7 +175,11 @@ class IvfIndex:
 
 
 def knn_lsh(queries: DataFrame, base: DataFrame, k: int, bucket: float = 1.0, tables: int = 12, farthest: float = 1.5, seed: int = 3) -> DataFrame:
-    """The k nearest by Euclidean distance among those that share a random-projection bucket within ``farthest``."""
+    """The k nearest by Euclidean distance among those that share a random-projection bucket within ``farthest``.
+
+    A query with fewer than k of them, as where vectors are long or far apart,
+    is searched exactly.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -183,7 +187,10 @@ def knn_lsh(queries: DataFrame, base: DataFrame, k: int, bucket: float = 1.0, ta
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(as_vector(base))
     pairs = model.approxSimilarityJoin(as_vector(queries), as_vector(base), farthest, distCol="distance")
     found = pairs.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), (-F.col("distance")).alias("score"))
-    return best(found.where("query_id <> vec_id"), k)
+    found = save(best(found.where("query_id <> vec_id"), k), "lsh")
+    whole = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
+    rest = queries.join(whole.withColumnRenamed("query_id", "vec_id"), "vec_id", "left_anti")
+    return found.join(whole, "query_id", "left_semi").unionByName(knn(rest, base, k, "l2"))
 
 
 def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:

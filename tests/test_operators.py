@@ -76,6 +76,13 @@ def test_lsh_recall_is_at_least_nine_tenths(spark):
     assert got.recall >= 0.9
 
 
+def test_lsh_fills_up_where_neighbours_are_far(spark):
+    base, asked = (df.withColumn("embedding", F.transform("embedding", lambda x: x * 100)) for df in (vector_plans.base(spark, SF), vector_plans.asked(spark, SF)))
+    got = vectors.knn_lsh(asked, base, 10)
+    assert {tuple(r) for r in got.groupBy("query_id").count().collect()} == {(r.vec_id, 10) for r in asked.collect()}
+    assert vectors.recall_at_k(got, vectors.knn(asked, base, 10, "l2")).first().recall >= 0.9
+
+
 def test_search_of_ties_nulls_and_zeros(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
