@@ -6,6 +6,8 @@ tables to the shared folder, which cuts lineage and outlives a lost executor.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,20 +103,28 @@ def neighbors(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return reachable(edges, seeds, hops, both_ways=True).where("depth > 0")
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int = 20) -> DataFrame:
-    """``step, id`` of a shortest path, either way along edges; the least predecessor each time. Empty without one."""
+def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int | None = None) -> DataFrame:
+    """``step, id`` of a shortest path, either way along edges; the least predecessor each time. Empty without one.
+
+    The search goes on until it has met all that ``start`` is connected with.
+    Where ``max_depth`` is given and reached before, it raises.
+    """
     spark = edges.sparkSession
     links = undirected(edges)
     seen = save(spark.range(1).select(F.lit(start).alias("id"), F.lit(None).cast("string").alias("via"), F.lit(0).alias("depth")), "path")
     frontier, found = seen, start == end
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         if found:
             break
+        if max_depth is not None and depth > max_depth:
+            raise RuntimeError(f"no path within {max_depth} steps, and not all nodes met")
         ahead = links.join(frontier.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("via"))
         frontier = save(ahead.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "path")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % 16 == 0:  # a table of few parts, however long the path
+            seen = save(seen, "path")
         found = not frontier.where(F.col("id") == end).isEmpty()
     steps, at = [], end if found else None
     while at is not None:  # one row a step

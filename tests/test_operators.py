@@ -46,6 +46,13 @@ def test_walks(spark):
     assert [r.id for r in graph.shortest_path(e, "a", "a").collect()] == ["a"]
 
 
+def test_a_path_longer_than_twenty_steps(spark):
+    chain = edges_of(spark, [(f"n{k:02}", f"n{k + 1:02}") for k in range(23)])
+    assert [r.id for r in graph.shortest_path(chain, "n00", "n23").orderBy("step").collect()] == [f"n{k:02}" for k in range(24)]
+    with pytest.raises(RuntimeError):
+        graph.shortest_path(chain, "n00", "n23", max_depth=2)
+
+
 def test_triangles_and_common_neighbors(spark):
     e = edges_of(spark, [*CYCLES, ("d", "a")])
     assert {tuple(r) for r in graph.triangles(e).collect()} == {("a", "b", "c"), ("a", "c", "d")}
