@@ -215,6 +215,9 @@ def sketches(s: SparkSession, d: str) -> DataFrame:
         F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("hll"),
         F.percentile_approx("l_extendedprice", 0.5, 10000).alias("median_estimate"),
         F.expr("percentile(l_extendedprice, 0.5)").alias("median_exact"),
+        F.expr("theta_sketch_estimate(theta_sketch_agg(l_partkey))").alias("theta"),
+        F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(CAST(l_extendedprice AS DOUBLE)), 0.5D)").alias("kll_median"),
+        F.expr("approx_top_k(l_linenumber, 3)").alias("top_lines"),
     )
     return rows
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomery.functions import text, vector
 from loomery.operators import documents, graph, relational, vectors
+from loomery.plans import relational as relational_plans
 from loomery.plans import streams
 from loomery.plans import vectors as vector_plans
 from loomery.sources.scratch import new_path
@@ -190,6 +191,16 @@ def test_late_events_are_dropped(spark):
     assert 0.9 * total < got < total + early  # those of the days that are still open come in, the rest of the late file doesn't
 
 
+def test_sketches_are_near_the_exact_figures(spark):
+    lines = load_table(spark, SF, "lineitem")
+    for r in relational_plans.sketches(spark, SF).collect():
+        own = lines.where(F.col("l_returnflag") == r.l_returnflag)
+        assert r.theta == pytest.approx(r.n_exact, rel=0.1)
+        assert own.where(F.col("l_extendedprice") <= r.kll_median).count() == pytest.approx(own.count() / 2, rel=0.1)
+        counts = sorted((n for _, n in own.groupBy("l_linenumber").count().collect()), reverse=True)
+        assert [t["count"] for t in r.top_lines] == counts[:3]
+
+
 def test_hybrid_and_recall(spark):
     a = spark.createDataFrame([(1, 1), (2, 2)], "id long, place int")
     b = spark.createDataFrame([(2, 1), (3, 2)], "id long, place int")
