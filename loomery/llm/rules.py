@@ -1,12 +1,16 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
 Rules look at a document's base figures and vote good (1), bad (0) or abstain
-(null). Expectation-maximisation over all documents estimates how common good
-documents are and how often each rule is right about good and about bad ones;
-the posterior probability of good then decides, instead of all rules having to
-pass. What EM reads is the table of vote patterns with their counts, at most 3 to
-the power of the number of rules however many documents there are; each round is
-one aggregate of it, and only the rules' rates come to the driver.
+(null). Expectation-maximisation over all documents that the base rules leave
+estimates how common good ones are and how often each rule is right about good
+and about bad ones; the posterior probability of good then decides, instead of
+all rules having to pass. A rule that votes bad where no other rule sees anything
+wrong comes out as one that is often wrong about good documents, and loses its
+weight; so each kind of junk needs two rules that look at it from two sides.
+
+What EM reads is the table of vote patterns with their counts, at most 3 to the
+power of the number of rules however many documents there are; each round is one
+aggregate of it, and only the rules' rates come to the driver.
 """
 
 from __future__ import annotations
@@ -17,11 +21,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomery.llm.names import named, numbered
 from loomery.sources.scratch import save
 
 SPACES, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 #: Words of the repeated windows.
 RUN = 3
+#: A word without a letter or digit.
+BARE = r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"
 
 
 def base_figures(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -41,9 +48,11 @@ def base_figures(df: DataFrame, keep: list[str], text_col: str = "text") -> Data
         F.regexp_count("__t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("__t", F.lit(r"[!?]")).cast("long").alias("n_marks"),
         F.regexp_count("__t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+        F.regexp_count("__t", F.lit(r"[^\p{L}\x20\x09-\x0D]")).cast("long").alias("n_others"),
+        F.regexp_count("__t", F.lit(BARE)).cast("long").alias("n_bare"),
         F.regexp_count("__t", F.lit(r"\.(?=[\x20\x09-\x0D]|$)")).cast("long").alias("n_stops"),
     )
-    figures = ["n_symbols", "n_marks", "n_upper", "n_stops"]
+    figures = ["n_symbols", "n_marks", "n_upper", "n_others", "n_bare", "n_stops"]
     windows = F.transform(
         F.slice("__w", F.lit(1), F.greatest(F.size("__w") - (RUN - 1), F.lit(0))),
         lambda w, i: F.xxhash64(w, F.get("__w", i + 1), F.get("__w", i + 2)),
@@ -84,12 +93,14 @@ class Rule:
 
 
 def default_rules() -> list[Rule]:
-    """Seven signs of junk, each silent otherwise, and two of prose."""
+    """Eight signs of junk, each silent otherwise, two of prose, and the share of letters, which is either."""
     words = F.nullif(F.col("n_words"), F.lit(0)).cast("double")
     chars = F.nullif(F.col("word_chars"), F.lit(0)).cast("double")
-    upper, stops = F.col("n_upper") / chars, F.col("n_stops") / words
+    upper, stops, letters = F.col("n_upper") / chars, F.col("n_stops") / words, 1 - F.col("n_others") / chars
     return [
         Rule("symbols", bad=F.col("n_symbols") / words >= 0.15),
+        Rule("bare", bad=F.col("n_bare") / words >= 0.1),
+        Rule("letters", bad=letters < 0.85, good=letters >= 0.9),
         Rule("marks", bad=F.col("n_marks") / words >= 0.4),
         Rule("upper", bad=upper >= 0.3),
         Rule("repeats", bad=F.col("n_repeat_words") / words >= 0.3),
@@ -112,28 +123,27 @@ class Rates:
     def posterior(self, votes: list[str]) -> Column:
         odds = F.lit(math.log(self.prior / (1 - self.prior)))
         for name, (g0, g1), (b0, b1) in zip(votes, self.good, self.bad, strict=True):
-            silent = math.log((1 - g0 - g1) / (1 - b0 - b1))
+            silent = math.log(max(1 - g0 - g1, 1e-9) / max(1 - b0 - b1, 1e-9))
             odds = odds + F.when(F.col(name) == 0, math.log(g0 / b0)).when(F.col(name) == 1, math.log(g1 / b1)).otherwise(silent)
         return 1 / (1 + F.exp(-odds))
 
 
-#: Rates at the start, also what each rule's pseudo-votes say.
-START = Rates(0.8, ((0.0005, 0.4),), ((0.4, 0.1),))
+#: Rates at the start, by which rules are mostly right; also what each rule's pseudo-votes say.
+START = Rates(0.8, ((0.02, 0.5),), ((0.4, 0.2),))
 PSEUDO = 5.0
-#: The bad sides are set where hardly a good document comes: at most this share of them is taken to vote bad.
-FALSE_ALARMS = 0.0005
 
 
-def estimate(patterns: DataFrame, votes: list[str], rounds: int = 40, tolerance: float = 1e-5) -> Rates:
-    """EM over ``patterns`` (the votes and ``n``), from rates by which rules are mostly right.
+def estimate(patterns: DataFrame, votes: list[str], rounds: int = 60, tolerance: float = 1e-5) -> Rates:
+    """EM over ``patterns`` (the votes and ``n``).
 
-    Each rate holds ``PSEUDO`` votes at its start, so none reaches 0 or 1. Of
-    good documents at most ``FALSE_ALARMS`` vote bad by a rule, and a good vote
-    stays at least as likely from a good document. Without the first bound EM
-    may take the signs that come together for badness and a sign that comes
-    alone, however common, for goodness.
+    Each rate holds ``PSEUDO`` votes at its start, so none reaches 0 or 1. All
+    that is asked of a rule is that it isn't worse than chance, or good and bad
+    could trade places: its bad votes come no less often from bad documents
+    than from good ones, its good votes no more often.
     """
     rates = Rates(START.prior, START.good * len(votes), START.bad * len(votes))
+    (s0, s1), (t0, t1) = START.good[0], START.bad[0]
+    share = lambda x, n, start: (x + PSEUDO * start) / (n + PSEUDO)
     for _ in range(rounds):
         p = patterns.withColumn("__good", rates.posterior(votes))
         weights = (F.col("n") * F.col("__good"), F.col("n") * (1 - F.col("__good")))
@@ -143,11 +153,9 @@ def estimate(patterns: DataFrame, votes: list[str], rounds: int = 40, tolerance:
         good, bad = [], []
         for k in range(len(votes)):
             g0, g1, b0, b1 = got[2 + 4 * k : 6 + 4 * k]
-            share = lambda x, n, start: (x + PSEUDO * start) / (n + PSEUDO)
-            (s0, s1), (t0, t1) = START.good[0], START.bad[0]
             g0, g1, b0, b1 = share(g0, got[0], s0), share(g1, got[0], s1), share(b0, got[1], t0), share(b1, got[1], t1)
-            good.append((min(g0, FALSE_ALARMS), g1))
-            bad.append((max(b0, FALSE_ALARMS), min(b1, g1)))
+            good.append((g0, g1))
+            bad.append((max(b0, g0), min(b1, g1)))
         after = Rates(min(0.999, max(0.001, share(got[0], got[0] + got[1], START.prior))), tuple(good), tuple(bad))
         flat = lambda r: [r.prior, *(x for pair in (*r.good, *r.bad) for x in pair)]
         moved = max(abs(x - y) for x, y in zip(flat(rates), flat(after), strict=True))
@@ -165,14 +173,20 @@ def judge(df: DataFrame, keep: list[str], text_col: str = "text", rules: list[Ru
 
     A null or empty text has no words, so it is base_failed and most rules
     abstain. Repeated rows count and are judged like any. An empty table gives
-    none. ``keep`` holds none of the result's names. The figures are written
-    once as a thin table, which EM and the result read.
+    none. A column of ``keep`` whose name the result has itself comes back with
+    an underscore behind it. The figures are written once as a thin table, which
+    EM and the result read.
     """
     rules = default_rules() if rules is None else rules
     votes = [f"vote_{r.name}" for r in rules]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    figures = base_figures(df, keep, text_col).withColumn("base_failed", failed)
+    own = [f"c{k}" for k in range(len(keep))]
+    rows = df.select(*numbered(keep), F.col(text_col).alias("text"))
+    figures = base_figures(rows, own).withColumn("base_failed", failed)
     figures = save(figures.select("*", *[r.vote().alias(v) for r, v in zip(rules, votes, strict=True)]), "figures")
-    patterns = save(figures.groupBy(*votes).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns")
-    judged = figures.withColumn("p_good", estimate(patterns, votes).posterior(votes))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
+    patterns = figures.where("NOT base_failed").groupBy(*votes).agg(F.count(F.lit(1)).alias("n"))
+    rates = estimate(save(patterns.coalesce(1), "vote-patterns"), votes)
+    judged = figures.withColumn("p_good", rates.posterior(votes))
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
+    found = judged.columns[len(keep) :]
+    return judged.select(*named(keep, found), *found)
