@@ -32,9 +32,13 @@ RATIOS, PLAIN = 6, 7
 WIDTH = PLAIN + RATIOS * (1 + len(STEPS))
 
 
-def _raw(text: bytes) -> tuple[list[tuple[float, ...]], list[int]]:
-    """Of each line: six ratios, then seven plain values; and the lines' weights."""
-    rows, weights, seen = [], [], set()
+#: Lines whose figures are held as Python numbers at once.
+LINES = 20_000
+
+
+def _raw(text: bytes) -> tuple[list[np.ndarray], list[int]]:
+    """Of each line: six ratios, then seven plain values, in blocks of lines; and the lines' weights."""
+    blocks, rows, weights, seen = [], [], [], set()
     for line in text.split(b"\n"):
         n = len(line)
         words = line.split()
@@ -61,7 +65,12 @@ def _raw(text: bytes) -> tuple[list[tuple[float, ...]], list[int]]:
             )
         )
         weights.append(max(1, n))
-    return rows, weights
+        if len(rows) == LINES:
+            blocks.append(np.array(rows, np.float32))
+            rows = []
+    if rows:
+        blocks.append(np.array(rows, np.float32))
+    return blocks, weights
 
 
 def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,10 +80,9 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         r, w = _raw(text)
         rows += r
         weights += w
-        sizes.append(len(r))
-    raw = np.array(rows, np.float32).reshape(len(rows), RATIOS + PLAIN)
-    ratios = raw[:, :RATIOS]
-    steps = (ratios[:, :, None] > STEPS).reshape(len(rows), RATIOS * len(STEPS))
+        sizes.append(len(w))
+    raw = np.concatenate(rows) if rows else np.empty((0, RATIOS + PLAIN), np.float32)
+    steps = (raw[:, :RATIOS, None] > STEPS).reshape(len(raw), RATIOS * len(STEPS))
     return np.hstack((raw, steps.astype(np.float32))), np.array(weights, np.float64), np.array(sizes, np.int64)
 
 
@@ -155,12 +163,14 @@ def fit(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, steps: int = 250,
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept = []
-        for text, label, most in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+        places, found, labels = [], [], []
+        for text, label, most, place in zip(*batch.columns, strict=True):
             text = text.as_py() or b""
             if text.count(b"\n") < most.as_py():
-                kept.append((line_features([text])[0].tobytes(), label.as_py()))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.binary()), pa.array([y for _, y in kept], pa.int32())], ["x", "label"])
+                places.append(place.as_py())
+                found.append(line_features([text])[0].tobytes())
+                labels.append(label.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(found, pa.binary()), pa.array(labels, pa.int32())], ["place", "x", "label"])
 
 
 def _scoring(field: Field, name: str) -> Callable:
@@ -174,22 +184,32 @@ def _scoring(field: Field, name: str) -> Callable:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, fit_docs: int = 4000, fit_lines: int = 400, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+    docs: DataFrame,
+    labels: DataFrame,
+    fit_docs: int = 4000,
+    fit_lines: int = 400,
+    fit_total: int = 250_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
 ) -> Field:
-    """Fit the field on at most ``fit_docs`` labelled documents of at most ``fit_lines`` lines.
+    """Fit the field on at most ``fit_docs`` labelled documents of at most ``fit_lines`` lines, ``fit_total`` lines in all.
 
-    The sample is the same on each run: the rows of ``labels`` that a hash of
-    the id puts first. Both bounds together bound what comes to the driver.
+    The sample is the same on each run: the rows that a hash of id and text
+    puts first, of the ids that a hash of the id puts first. These bounds hold
+    however often an id or a row is repeated, and bound what comes to the driver.
     Rows without an id or with a label other than 0 and 1 are left out.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("label"))
     sample = usable.orderBy(F.xxhash64(id_col), id_col, "label").limit(fit_docs)
-    rows = docs.select(id_col, F.col(text_col).cast("binary").alias("text")).join(F.broadcast(sample), id_col)
-    rows = rows.select("text", "label", F.lit(fit_lines).alias("most")).mapInArrow(_sampled, "x binary, label int").collect()
-    rows.sort(key=lambda r: (bytes(r.x), r.label))
+    place = F.xxhash64(id_col, text_col).alias("place")
+    rows = docs.select(id_col, F.col(text_col).cast("binary").alias("text"), place).join(F.broadcast(sample), id_col)
+    rows = rows.select("text", "label", F.lit(fit_lines).alias("most"), "place").mapInArrow(_sampled, "place long, x binary, label int")
+    rows = rows.orderBy("place", "label").limit(fit_docs).collect()
     x = [np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in rows]
-    sizes = np.array([len(a) for a in x], np.int64)
-    return fit(np.concatenate(x) if x else np.empty((0, WIDTH)), sizes, np.array([r.label for r in rows], np.int64))
+    n = int(np.searchsorted(np.cumsum([len(a) for a in x]), fit_total, "right"))
+    sizes = np.array([len(a) for a in x[:n]], np.int64)
+    return fit(np.concatenate(x[:n]) if n else np.empty((0, WIDTH)), sizes, np.array([r.label for r in rows[:n]], np.int64))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

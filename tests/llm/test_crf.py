@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomery.llm import registry
+from loomery.llm import crf
 from loomery.llm.crf import WIDTH, Field, fit, held_out, line_features, score_quality, train
 
 SF = "/root/testdata/sf0.1"
@@ -65,3 +66,20 @@ def test_odd_rows(spark, odd, none):
 def test_one_label_only():
     x, _, sizes = line_features([b"a\nb", b"c"])
     assert not fit(x, sizes, np.array([1, 1])).emission.any()
+
+
+def test_the_sample_is_bounded_by_rows_and_lines(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(crf, "fit", lambda x, sizes, labels: held.append((len(x), len(sizes))))
+    docs = spark.range(300).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b\nc").alias("text"))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    train(docs, labels, fit_docs=50)
+    train(docs, labels, fit_docs=50, fit_total=31)
+    train(docs, labels, fit_docs=50, fit_total=1)
+    assert held == [(100, 50), (30, 15), (0, 0)]
+
+
+def test_a_text_of_a_million_lines(spark):
+    docs = spark.range(1).select("id", F.repeat(F.lit("Some words here.\n"), 1_000_000).alias("text"))
+    got = score_quality(docs, Field(np.zeros(3 * WIDTH), np.zeros((2, 2))), ["id"]).collect()
+    assert [round(r.score, 6) for r in got] == [0.5]
