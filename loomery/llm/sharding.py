@@ -21,6 +21,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.llm.names import named, numbered
 from loomery.sources.scratch import save
 
 PARTITIONS, HASH_BITS = 256, 32
@@ -83,14 +84,15 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 17, range_rows: int = 50_
     Shards differ by at most one row. The same rows and seed give the same
     result on every run and cluster. Nulls are values like others and no column
     is taken for a key; fully equal rows are numbered, dealt out apart from one
-    another and may trade places. An empty table gives none. ``df`` has no
-    columns named ``shard``, ``slot`` or with a leading ``__``.
+    another and may trade places. An empty table gives none. A column of ``df``
+    named ``shard`` or ``slot`` comes back with an underscore behind its name.
 
     Of the data only the ``PARTITIONS`` counts come to the driver. The rows
     move twice, to their partition and to their shard.
     """
-    columns = df.columns
-    keyed = df.withColumn("__h", F.xxhash64(F.lit(seed), *columns))
+    own = df.columns
+    columns = [f"c{k}" for k in range(len(own))]
+    keyed = df.select(*numbered(own)).withColumn("__h", F.xxhash64(F.lit(seed), *columns))
     part = F.shiftrightunsigned("__h", 56).cast("int")
     rest = F.shiftrightunsigned("__h", 24).bitwiseAND(F.lit((1 << HASH_BITS) - 1).cast("long"))
     counts = save(keyed.groupBy(part.alias("__part")).count(), "partition-counts")
@@ -107,12 +109,12 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 17, range_rows: int = 50_
 
     keyed = keyed.withColumn("__part", part).withColumn("__range", cut(rest, ranges(total // PARTITIONS)))
     here = Window.partitionBy("__part", "__range")
-    numbered = keyed.withColumn("__n", F.row_number().over(here.orderBy("__h")))  # tells equal rows apart
-    numbered = numbered.withColumn("__r", F.row_number().over(here.orderBy(F.xxhash64("__h", "__n"), "__n")))
-    numbered = numbered.join(_offsets(keyed.select("__part", "__range"), "__part", "partition-ranges"), ["__part", "__range"])
+    placed = keyed.withColumn("__n", F.row_number().over(here.orderBy("__h")))  # tells equal rows apart
+    placed = placed.withColumn("__r", F.row_number().over(here.orderBy(F.xxhash64("__h", "__n"), "__n")))
+    placed = placed.join(_offsets(keyed.select("__part", "__range"), "__part", "partition-ranges"), ["__part", "__range"])
     rank = F.col("before") + F.col("__r") - 1
     line = F.element_at(F.from_json(F.lit(json.dumps(ends)), "array<array<bigint>>"), F.col("__part") + 1)
-    dealt = numbered.withColumn("__rank", rank).withColumn("shard", F.size(F.filter(line, lambda end: end <= F.col("__rank"))))
+    dealt = placed.withColumn("__rank", rank).withColumn("shard", F.size(F.filter(line, lambda end: end <= F.col("__rank"))))
     again = F.xxhash64(F.lit(seed + 1), "__h", "__n", "__part", "__rank")
     dealt = dealt.select(*columns, "shard", again.alias("__h"))
     rest = F.shiftrightunsigned("__h", 64 - HASH_BITS)
@@ -121,5 +123,5 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 17, range_rows: int = 50_
     here = Window.partitionBy("shard", "__range").orderBy("__h", *columns)
     placed = dealt.withColumn("__r", F.row_number().over(here))
     placed = placed.join(_offsets(dealt, "shard", "shard-ranges"), ["shard", "__range"])
-    return placed.select(*columns, "shard", (F.col("before") + F.col("__r") - 1).cast("long").alias("slot"))
+    return placed.select(*named(own, ("shard", "slot")), "shard", (F.col("before") + F.col("__r") - 1).cast("long").alias("slot"))
 

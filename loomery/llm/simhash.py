@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.operators.components import connected_components
+from loomery.llm.names import named, numbered
 from loomery.sources.scratch import save
 from loomery.llm.words import slices
 
@@ -247,18 +248,20 @@ def one_of_each_group(df: DataFrame, budget: int = 3, shingle: int = 3, seed: in
     """The row of ``df`` with the smallest id in each component of near duplicates.
 
     Ids order first, nulls last, then a hash of the whole row, so that rows
-    that share an id are still told apart; of fully equal rows one stays.
+    that share an id are still told apart; of fully equal rows one stays. An
+    empty table gives none, and columns may have any names.
     """
-    columns = df.columns
-    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*columns).alias("row"))
-    ranked = df.select(rank.alias("__rank"), F.col(text_col).alias("__text"))
-    found = near_duplicates(ranked, budget, shingle, seed, id_col="__rank", text_col="__text")
-    first = save(found.where(F.col("__rank") == F.col("component_id")).groupBy("__rank").count(), "kept-rows")
-    one = F.col("__rank")["row"]
-    chosen = df.select(*columns, F.xxhash64(*columns).alias("__row"), F.col(id_col).alias("__id"))
-    named = first.select(one.alias("__row"), F.col("__rank")["id"].alias("__of"))
-    match = (chosen["__row"] == named["__row"]) & F.col("__id").eqNullSafe(F.col("__of"))
-    kept = chosen.join(named, match, "left_semi")
+    own = df.columns
+    columns = [f"c{k}" for k in range(len(own))]
+    rows = df.select(*numbered(own))
+    key, text = (columns[own.index(c)] for c in (id_col, text_col))
+    rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(*columns).alias("row"))
+    found = near_duplicates(rows.select(rank.alias("rank"), F.col(text).alias("text")), budget, shingle, seed, id_col="rank", text_col="text")
+    first = save(found.where(F.col("rank") == F.col("component_id")).groupBy("rank").count(), "kept-rows")
+    chosen = rows.select("*", F.xxhash64(*columns).alias("row"))
+    names = first.select(F.col("rank.row").alias("of_row"), F.col("rank.id").alias("of_id"))
+    match = (chosen["row"] == names["of_row"]) & F.col(key).eqNullSafe(F.col("of_id"))
+    kept = chosen.join(names, match, "left_semi")
     if not first.where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["__row", "__id"])
-    return kept.select(*columns)
+        kept = kept.dropDuplicates(["row", key])
+    return kept.select(*named(own))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from loomery.llm import registry
 
@@ -54,6 +55,21 @@ def test_odd_rows(spark, odd, tmp_path):
     assert out.columns == [*docs.columns, "shard", "slot"] and out.count() > 0
 
 
+def test_clashing_names_and_no_documents(spark, odd, none, tmp_path):
+    clash = ["__score", "score", "__row", "__id", "__text", "__repeats", "shard", "slot", "c0", "extra_1"]
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(k).alias(c) for k, c in enumerate(clash)])
+    for name, rows in (("rows", docs), ("none", docs.limit(0))):
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{tmp_path}/{table}.parquet").write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns == [c + "_" if c in ("shard", "slot") else c for c in docs.columns] + ["shard", "slot"]
+        got = out.collect()
+        assert all(tuple(r)[5:15] == tuple(range(10)) for r in got) and bool(got) == (name == "rows")
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
