@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.functions.text import terms as terms_of
+from loomery.sources.scratch import save
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,15 +27,13 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def term_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``term, tf, df``: occurrences and documents of each term.
 
-    A document's terms come once each with their number in it, so both figures
-    need one shuffle, by term.
+    A text is split once; its terms, and its different terms beside them, are
+    counted in one shuffle, by term.
     """
-    each = docs.select(F.array_sort(terms_of(text_col)).alias("t"))
-    ends = F.filter(F.transform("t", lambda t, i: F.struct(t.alias("term"), i.alias("i"))), lambda x: ~F.coalesce(x["term"] == F.get("t", x["i"] + 1), F.lit(False)))
-    runs = each.select(ends.alias("e"))
-    sized = F.transform("e", lambda x, k: F.struct(x["term"].alias("term"), (x["i"] - F.coalesce(F.get("e", k - 1)["i"], F.lit(-1))).alias("tf")))
-    terms = runs.select(F.explode_outer(sized).alias("x")).where("x IS NOT NULL")
-    return terms.groupBy("x.term").agg(F.sum("x.tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+    each = docs.select(terms_of(text_col).alias("t"))
+    each = each.select(F.posexplode(F.array("t", F.array_distinct("t"))).alias("once", "terms"))
+    each = each.select("once", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
+    return each.groupBy("term").agg(F.count_if(F.col("once") == 0).alias("tf"), F.count_if(F.col("once") == 1).alias("df"))
 
 
 def doc_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,13 +43,15 @@ def doc_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def bm25(docs: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score`` of the documents with a term of ``query``.
 
-    Term counts are taken within the row, so the texts never move; the one
-    shuffle is the global aggregate, whose single row is broadcast.
+    Term counts are taken within the row, so the texts are read once and never
+    move; the global aggregate, whose single row is broadcast, and the scores
+    read the thin table of lengths and counts.
     """
     query = list(dict.fromkeys(query))
     times = lambda q: F.size(F.filter("t", lambda x: x == q))
     rows = docs.select(id_col, terms_of(text_col).alias("t"))
     rows = rows.select(id_col, F.size("t").alias("dl"), *[times(q).alias(f"tf{k}") for k, q in enumerate(query)])
+    rows = save(rows, "query-counts")
     count = [F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")]
     stats = rows.agg(*count, *[F.count(F.when(F.col(f"tf{k}") > 0, 1)).alias(f"df{k}") for k in range(len(query))])
     score = F.lit(0.0)
@@ -63,8 +64,8 @@ def bm25(docs: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75, id
 
 
 def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, term, tf, weight``: tf times ln(documents / documents with the term)."""
-    found = postings(docs, id_col, text_col)
+    """``id, term, tf, weight``: tf times ln(documents / documents with the term). Texts are read once."""
+    found = save(postings(docs, id_col, text_col), "postings")
     frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))
     weight = F.col("tf") * F.log(F.col("n") / F.col("df"))

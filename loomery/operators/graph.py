@@ -84,13 +84,25 @@ def undirected(edges: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
+def _links(edges: DataFrame) -> DataFrame:
+    """The ends of ``edges``, written once, so that hops don't make the edges again."""
+    return save(edges.where("src <> dst").select("src", "dst"), "links")
+
+
+def _ahead(links: DataFrame, frontier: DataFrame, both_ways: bool) -> DataFrame:
+    """``a, id`` for the steps from the nodes of ``frontier`` (``id``); only these are shuffled, or none if the frontier is small."""
+    own = frontier.select(F.col("id").alias("a"))
+    steps = links.join(own, F.col("src") == F.col("a")).select("a", F.col("dst").alias("id"))
+    return steps.unionByName(links.join(own, F.col("dst") == F.col("a")).select("a", F.col("src").alias("id"))) if both_ways else steps
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int, both_ways: bool = False) -> DataFrame:
     """``id, depth``: nodes within ``max_depth`` steps of ``seeds`` (``id``) and their least distance."""
-    links = undirected(edges) if both_ways else edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    links = _links(edges)
     seen = save(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "seen")
     frontier = seen
     for depth in range(1, max_depth + 1):
-        ahead = links.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
+        ahead = _ahead(links, frontier, both_ways).select("id").distinct()
         frontier = save(ahead.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
             break
@@ -110,7 +122,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int | None
     Where ``max_depth`` is given and reached before, it raises.
     """
     spark = edges.sparkSession
-    links = undirected(edges)
+    links = _links(edges)
     seen = save(spark.range(1).select(F.lit(start).alias("id"), F.lit(None).cast("string").alias("via"), F.lit(0).alias("depth")), "path")
     frontier, found = seen, start == end
     for depth in itertools.count(1):
@@ -118,7 +130,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int | None
             break
         if max_depth is not None and depth > max_depth:
             raise RuntimeError(f"no path within {max_depth} steps, and not all nodes met")
-        ahead = links.join(frontier.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("via"))
+        ahead = _ahead(links, frontier, True).groupBy("id").agg(F.min("a").alias("via"))
         frontier = save(ahead.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "path")
         if frontier.isEmpty():
             break

@@ -262,9 +262,9 @@ def table_function(s: SparkSession, d: str) -> DataFrame:
 def recursive(s: SparkSession, d: str) -> DataFrame:
     load(s, d, "orders").createOrReplaceTempView("loomery_orders")
     return s.sql("""
-        WITH RECURSIVE months(m) AS (
-          SELECT CAST(trunc(min(o_orderdate), 'month') AS DATE) FROM loomery_orders
-          UNION ALL SELECT CAST(add_months(m, 1) AS DATE) FROM months WHERE m < DATE'1998-12-01')
+        WITH RECURSIVE months(m, last) AS (
+          SELECT CAST(trunc(min(o_orderdate), 'month') AS DATE), CAST(trunc(max(o_orderdate), 'month') AS DATE) FROM loomery_orders
+          UNION ALL SELECT CAST(add_months(m, 1) AS DATE), last FROM months WHERE m < last)
         SELECT CAST(m AS STRING) AS m, count(o_orderkey) AS n FROM months LEFT JOIN loomery_orders ON trunc(o_orderdate, 'month') = m GROUP BY months.m""")
 
 
@@ -363,8 +363,8 @@ ORACLE_SQL = {
     "r18_pandas_udf": NET,
     "r19_pandas_udaf": "SELECT o_custkey, round(exp(avg(ln(o_totalprice))), 2) AS mean_price FROM orders GROUP BY o_custkey",
     "r20_udtf": "SELECT p_partkey, word, count(*)::INT AS n FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY p_partkey, word",
-    "r21_recursive": """WITH RECURSIVE months(m) AS (
-          SELECT date_trunc('month', min(o_orderdate))::DATE FROM orders
-          UNION ALL SELECT (m + INTERVAL 1 MONTH)::DATE FROM months WHERE m < DATE '1998-12-01')
+    "r21_recursive": """WITH RECURSIVE months(m, last) AS (
+          SELECT date_trunc('month', min(o_orderdate))::DATE, date_trunc('month', max(o_orderdate))::DATE FROM orders
+          UNION ALL SELECT (m + INTERVAL 1 MONTH)::DATE, last FROM months WHERE m < last)
         SELECT m::VARCHAR AS m, count(o_orderkey) AS n FROM months LEFT JOIN orders ON date_trunc('month', o_orderdate)::DATE = months.m GROUP BY months.m""",
 }
