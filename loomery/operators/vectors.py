@@ -1,89 +1,148 @@
 """Vectors: exact and approximate search, centroids, fusion and diversity.
 
-Exact search streams the base past blocks of query vectors. A block is collected,
-of bounded size, and broadcast; a task keeps each query's k best of a batch, and
-only those are shuffled, by query. Similarities are double precision.
+Exact search broadcasts the queries, or else the base, if its measured size is at
+most a block. Otherwise both sides are dealt into blocks in a written table and
+each pair of blocks is a group of its own, so that no vector passes the driver.
+A task keeps each query's k best, and only those are shuffled, by query.
+Similarities are double precision; all vectors of a search have one length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.functions.vector import dot, l2_norm
 from loomery.sources.scratch import save
 
+#: Size of a block, as double precision: of a side that is broadcast, and of either side of a group.
 BLOCK_BYTES = 8 << 20
+#: Similarities that a task holds at once.
+SCORES = 1 << 21
+#: Below the score of any neighbour, above that of what is none.
+LOWEST = np.finfo(np.float64).min
+FOUND = "query_id long, vec_id long, score double"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    rows = [np.asarray(v.values, np.float64) for v in column]
-    return np.stack(rows) if rows else np.empty((0, 0))
+    if len(column) == 0:
+        return np.empty((0, 0))
+    if pc.count_distinct(pc.list_value_length(column)).as_py() > 1:
+        raise ValueError("vectors of different lengths")
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
 def _scores(queries: np.ndarray, base: np.ndarray, metric: str) -> np.ndarray:
-    """Similarity of each query (row) with each base vector; larger is nearer."""
+    """Similarity of each query (row) with each base vector; larger is nearer, infinitely small is none."""
     if metric == "dot":
-        return queries @ base.T
-    if metric == "cosine":
+        scores = queries @ base.T
+    elif metric == "cosine":
         scale = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(base, axis=1)[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(scale > 0, (queries @ base.T) / scale, -np.inf)
-    if metric == "l2":
+            scores = np.where(scale > 0, (queries @ base.T) / scale, -np.inf)
+    elif metric == "l2":
         squares = (queries**2).sum(1)[:, None] + (base**2).sum(1)[None, :] - 2 * queries @ base.T
-        return -np.sqrt(np.maximum(squares, 0))
-    raise ValueError(f"unknown metric {metric}")
-
-
-def _searching(block, metric: str, k: int | None, least: float | None) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = block.value
-        for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(own), 1024):
-                part = batch.column(1).slice(at, 1024)
-                scores = _scores(queries, _matrix(part), metric)
-                there = own[at : at + 1024]
-                scores[ids[:, None] == there[None, :]] = -np.inf
-                if k is not None and scores.shape[1] > k:
-                    # all that reach the k-th best, so that ties are left to the ids
-                    kth = np.partition(scores, -k, axis=1)[:, -k]
-                    q, x = np.nonzero(scores >= np.maximum(kth[:, None], np.finfo(float).min))
-                else:
-                    q, x = np.nonzero(np.isfinite(scores))
-                if least is not None:
-                    near = scores[q, x] >= least
-                    q, x = q[near], x[near]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(there[x]), pa.array(scores[q, x])], ["query_id", "vec_id", "score"])
-
-    return run
-
-
-def query_blocks(queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> Iterator[tuple]:
-    ids, rows, size = [], [], 0
-    for own, vector in queries.where(F.col(vec_col).isNotNull()).select(id_col, vec_col).toLocalIterator():
-        ids.append(own)
-        rows.append(np.array(vector, np.float64))
-        size += rows[-1].nbytes
-        if size >= block_bytes:
-            yield np.array(ids, np.int64), np.stack(rows)
-            ids, rows, size = [], [], 0
-    if rows:
-        yield np.array(ids, np.int64), np.stack(rows)
-
-
-def _search(queries: DataFrame, base: DataFrame, metric: str, k: int | None, least: float | None) -> DataFrame:
-    spark = base.sparkSession
-    rows = base.where(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    out = None
-    for block in query_blocks(queries):
-        part = rows.mapInArrow(_searching(spark.sparkContext.broadcast(block), metric, k, least), "query_id long, vec_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "query_id long, vec_id long, score double")
+        scores = -np.sqrt(np.maximum(squares, 0))
+    else:
+        raise ValueError(f"unknown metric {metric}")
+    scores[np.isnan(scores)] = -np.inf
+    return scores
+
+
+class _Search:
+    """What is wanted: the ``k`` best, or all of ``least`` or more; ``others``: a query isn't its own neighbour."""
+
+    def __init__(self, metric: str, k: int | None, least: float | None, others: bool) -> None:
+        self.metric, self.k, self.least, self.others = metric, k, LOWEST if least is None else least, others
+
+    def scan(self, ids: np.ndarray, queries: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Rows of ``FOUND`` for ``queries`` among all ``parts`` (ids, vectors) of a base."""
+        least = np.full(len(ids), self.least)
+        q, there, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for own, vectors in parts:
+            step = max(64, SCORES // max(len(ids), 1))
+            for at in range(0, len(own) if len(ids) else 0, step):
+                some = own[at : at + step]
+                scores = _scores(queries, vectors[at : at + step], self.metric)
+                if self.others:
+                    scores[ids[:, None] == some[None, :]] = -np.inf
+                if self.k is not None and not len(q) and len(some) >= self.k:
+                    least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+                more, x = np.nonzero(scores >= least[:, None])
+                if self.k is None:
+                    yield _found(ids[more], some[x], scores[more, x])
+                    continue
+                q, there, score = np.append(q, more), np.append(there, some[x]), np.append(score, scores[more, x])
+                order = np.lexsort((there, -score, q))
+                place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+                order, place = order[place < self.k], place[place < self.k]
+                q, there, score = q[order], there[order], score[order]
+                least[q[place == self.k - 1]] = score[place == self.k - 1]
+        yield _found(ids[q], there, score)
+
+
+def _found(ids: np.ndarray, there: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(there), pa.array(score)], ["query_id", "vec_id", "score"])
+
+
+def _batch(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and vectors of (vec_id, embedding)."""
+    ids, vectors = rows.column("vec_id"), rows.column("embedding")
+    if isinstance(rows, pa.Table):
+        ids, vectors = ids.combine_chunks(), vectors.combine_chunks()
+    return ids.to_numpy(zero_copy_only=False), _matrix(vectors)
+
+
+def _vectors(df: DataFrame) -> DataFrame:
+    """``vec_id``, ``embedding`` of the rows that have both."""
+    return df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+
+
+def _blocks(rows: DataFrame, block_bytes: int) -> int:
+    """How many blocks ``rows`` fill as double precision."""
+    size = rows.agg(F.sum(F.size("embedding").cast("long") * 8 + 8)).first()[0]
+    return -(-(size or 0) // block_bytes)
+
+
+def _one_block(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and vectors of a table of at most one block, by id."""
+    found = rows.orderBy("vec_id").collect()
+    return np.array([r.vec_id for r in found], np.int64), np.array([r.embedding for r in found], np.float64)
+
+
+def _dealt(rows: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` with the number of a ``block``; written, so that a row's block holds whatever is lost later."""
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    return save(rows.select("vec_id", "embedding", number.alias("block")), "vector-blocks")
+
+
+def _search(
+    queries: DataFrame, base: DataFrame, metric: str, k: int | None, least: float | None, others: bool = True, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    wanted = _Search(metric, k, least, others)
+    asked, rows = _vectors(queries), _vectors(base)
+    context = base.sparkSession.sparkContext
+    n_asked = _blocks(asked, block_bytes)
+    if n_asked <= 1:
+        held = context.broadcast(_one_block(asked))
+        return rows.mapInArrow(lambda batches: wanted.scan(*held.value, map(_batch, batches)), FOUND)
+    n_rows = _blocks(rows, block_bytes)
+    if n_rows <= 1:
+        held = context.broadcast(_one_block(rows))
+        return asked.mapInArrow(lambda batches: (out for b in batches for out in wanted.scan(*_batch(b), iter([held.value]))), FOUND)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = _dealt(asked, n_asked).select("vec_id", "embedding", F.col("block").alias("i"), every(n_rows).alias("j"))
+    right = _dealt(rows, n_rows).select("vec_id", "embedding", F.col("block").alias("j"), every(n_asked).alias("i"))
+
+    def cell(some: pa.Table, among: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(wanted.scan(*_batch(some), iter([_batch(among)])))
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, FOUND)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -92,18 +151,19 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``query_id, vec_id, score, place``: the exact k nearest other vectors of each query.
 
     For ``l2`` the score is the negative distance. Null and zero vectors are
-    nobody's neighbours under cosine.
+    nobody's neighbours under cosine, rows without an id or with a NaN nobody's
+    at all.
     """
-    return best(_search(queries, base, metric, k, None), k)
+    return best(_search(queries, base, metric, k, None, block_bytes=block_bytes), k)
 
 
-def range_search(queries: DataFrame, base: DataFrame, least: float, metric: str = "cosine") -> DataFrame:
+def range_search(queries: DataFrame, base: DataFrame, least: float, metric: str = "cosine", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``query_id, vec_id, score`` of every other vector with a score of ``least`` or more."""
-    return _search(queries, base, metric, None, least)
+    return _search(queries, base, metric, None, least, block_bytes=block_bytes)
 
 
 def centroids(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -118,30 +178,26 @@ def centroid_vectors(df: DataFrame, label_col: str = "label") -> DataFrame:
     return placed.select(F.col("label").cast("long").alias("vec_id"), F.transform("v", lambda x: x["value"]).alias("embedding"))
 
 
-def _assigning(block) -> Callable:
+def assign(df: DataFrame, means: DataFrame) -> DataFrame:
+    """``vec_id, embedding, list_id, distance``: the nearest centroid of each vector; ties to the least id."""
+    rows = _vectors(df).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    if _blocks(_vectors(means), BLOCK_BYTES) > 1:
+        near = best(_search(rows, means, "l2", 1, None, others=False), 1)
+        near = near.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("list_id"), (-F.col("score")).alias("distance"))
+        return rows.join(near, "vec_id")
+    held = df.sparkSession.sparkContext.broadcast(_one_block(_vectors(means)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, means = block.value
+        ids, centres = held.value
         for batch in batches:
-            scores = _scores(_matrix(batch.column(1)), means, "l2") if batch.num_rows else np.empty((0, len(ids)))
-            near = scores.argmax(1) if batch.num_rows else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids[near]), pa.array(-scores[np.arange(len(near)), near])], ["vec_id", "embedding", "list_id", "distance"]
-            )
+            if not batch.num_rows or not len(ids):
+                continue
+            parts = [_scores(_matrix(batch.column(1).slice(at, 1024)), centres, "l2") for at in range(0, batch.num_rows, 1024)]
+            near = np.concatenate([p.argmax(1) for p in parts])
+            distance = -np.concatenate([p.max(1) for p in parts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids[near]), pa.array(distance)], ["vec_id", "embedding", "list_id", "distance"])
 
-    return run
-
-
-def assign(df: DataFrame, means: DataFrame) -> DataFrame:
-    """``vec_id, embedding, list_id, distance``: the nearest centroid of each vector; ties to the least id.
-
-    Centroids are a model: they fit one block, or this raises.
-    """
-    blocks = list(query_blocks(means.orderBy("vec_id")))
-    if len(blocks) != 1:
-        raise ValueError("centroids must fit one block")
-    rows = df.where(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    schema = "vec_id long, embedding array<float>, list_id long, distance double"
-    return rows.mapInArrow(_assigning(df.sparkSession.sparkContext.broadcast(blocks[0])), schema)
+    return rows.mapInArrow(run, "vec_id long, embedding array<float>, list_id long, distance double")
 
 
 class IvfIndex:
@@ -166,8 +222,7 @@ class IvfIndex:
 
     def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         """The k nearest by cosine among the lists of the ``probes`` nearest centres."""
-        shifted = self.means.withColumn("vec_id", -1 - F.col("vec_id"))  # apart from the queries' ids
-        probed = knn(queries, shifted, probes, "l2").select("query_id", (-1 - F.col("vec_id")).alias("list_id"))
+        probed = best(_search(queries, self.means, "l2", probes, None, others=False), probes).select("query_id", F.col("vec_id").alias("list_id"))
         probed = probed.join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
         pairs = probed.join(self.lists, "list_id").where("query_id <> vec_id")
         score = dot("q", "embedding") / F.nullif(l2_norm("q") * l2_norm("embedding"), F.lit(0.0))

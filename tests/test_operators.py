@@ -100,14 +100,39 @@ def test_search_of_ties_nulls_and_zeros(spark):
     assert vectors.range_search(df.where("vec_id = 0"), df, 0.5).count() == 2
 
 
-def test_search_in_several_blocks(spark, monkeypatch):
-    base = vector_plans.base(spark, SF)
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_search_in_blocks_of_both_sides(spark, metric):
+    base, asked = vector_plans.base(spark, SF), vector_plans.asked(spark, SF)
     rows = lambda df: sorted((r.query_id, r.place, r.vec_id, round(r.score, 9)) for r in df.collect())
-    whole = rows(vectors.knn(vector_plans.asked(spark, SF), base, 3))
-    blocks = list(vectors.query_blocks(vector_plans.asked(spark, SF), block_bytes=1))
-    assert len(blocks) == 5
-    monkeypatch.setattr(vectors, "query_blocks", lambda q: iter(blocks))
-    assert rows(vectors.knn(vector_plans.asked(spark, SF), base, 3)) == whole
+    whole = rows(vectors.knn(asked, base, 3, metric))
+    assert len(whole) == 3 * asked.count()
+    assert rows(vectors.knn(asked, base, 3, metric, block_bytes=1040)) == whole  # two vectors to a block of queries
+    few = base.where("vec_id < 40")
+    x = {r.vec_id: np.array(r.embedding, np.float64) for r in few.collect()}
+    near = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b) if metric == "cosine" else -np.linalg.norm(a - b)
+    best = {q: sorted((-near(x[q], x[v]), v) for v in x if v != q)[:4] for q in x}
+    want = sorted((q, p + 1, v, round(-s, 9)) for q in x for p, (s, v) in enumerate(best[q]))
+    for block_bytes in (1 << 20, 5 * 520):  # one block, eight by eight
+        got = rows(vectors.knn(few, few, 4, metric, block_bytes=block_bytes))
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert np.allclose([r[3] for r in got], [r[3] for r in want])
+    assert rows(vectors.knn(base, few, 4, metric, block_bytes=40 * 520)) == rows(vectors.knn(base, few, 4, metric))  # the base is broadcast
+
+
+def test_ties_of_many_copies_go_to_the_least_ids(spark):
+    df = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), (F.col("id") % 2).cast("double")).cast("array<float>").alias("embedding"))
+    for block_bytes in (1 << 20, 24 * 500):
+        got = vectors.knn(df, df, 2, block_bytes=block_bytes).where("query_id in (0, 7, 2998)").orderBy("query_id", "place")
+        assert [(r.query_id, r.vec_id) for r in got.collect()] == [(0, 2), (0, 4), (7, 1), (7, 3), (2998, 0), (2998, 2)]
+
+
+def test_assign_to_more_centroids_than_a_block(spark, monkeypatch):
+    base = vector_plans.base(spark, SF)
+    means = vectors.centroid_vectors(base)
+    rows = lambda df: sorted((r.vec_id, r.list_id, round(r.distance, 9)) for r in df.collect())
+    whole = rows(vectors.assign(base, means))
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 1040)
+    assert rows(vectors.assign(base, means)) == whole
 
 
 def test_mmr_prefers_other_directions(spark):
