@@ -7,9 +7,11 @@ then extended: every 13-word window around a shared fingerprint is compared with
 the items' windows by a 128-bit hash. An item of fewer words is one window, and
 runs of its length are compared at every position.
 
-The items come in blocks of bounded size. A block is broadcast and the documents
-stream past it without a shuffle; with one block, which any usual benchmark is,
-that is one pass over the documents. Further blocks take a pass each.
+Items of up to a bounded measured size are broadcast and the documents stream past
+them without a shuffle. Beyond it the fingerprints of both sides are joined, once
+for each distinct text; only texts with a shared one are read again, and the
+windows around it are joined with the items' windows. That is three passes over the
+documents whatever the benchmark's size, and no item passes the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.sources.scratch import save
@@ -59,6 +61,27 @@ def winnow(h: np.ndarray, left: np.ndarray, gram: int, window: int) -> tuple[np.
     return at, grams[at]
 
 
+def prints_of(h: np.ndarray, left: np.ndarray, n: int, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) by which windows of ``n`` words are found: fingerprints, or all runs of a shorter item's length."""
+    if n == window:
+        return winnow(h, left, gram, n)
+    runs = run_hashes(h, n, FACTOR_A)
+    at = np.flatnonzero(left[: len(runs)] >= n)
+    return at, runs[at]
+
+
+def near_prints(h: np.ndarray, left: np.ndarray, n: int, gram: int, window: int, prints: np.ndarray) -> np.ndarray:
+    """Starts of the runs of ``n`` words that hold one of ``prints``."""
+    at, own = prints_of(h, left, n, gram, window)
+    at = at[np.isin(own, prints)]
+    if n < window:
+        return at
+    near = np.zeros(len(h) + 1, np.int32)
+    np.add.at(near, np.maximum(at - (n - gram), 0), 1)
+    np.add.at(near, at + 1, -1)
+    return np.flatnonzero((np.cumsum(near)[:-1] > 0) & (left >= n))
+
+
 class Block:
     """Fingerprints and windows of some items."""
 
@@ -88,19 +111,10 @@ class Block:
             new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
             self.windows[n] = (a[new], b[new], np.append(new, len(k)), k)
 
-    def hits(self, h: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-        """(length, starts, items of each): windows of the items in texts laid end to end."""
-        for n, (a, b, bounds, items) in self.windows.items():
-            if n == self.window:
-                at, prints = winnow(h, left, self.gram, n)
-                at = at[np.isin(prints, self.prints)]
-                near = np.zeros(len(h) + 1, np.int32)
-                np.add.at(near, np.maximum(at - (n - self.gram), 0), 1)
-                np.add.at(near, at + 1, -1)
-                at = np.flatnonzero((np.cumsum(near)[:-1] > 0) & (left >= n))
-            else:
-                runs = run_hashes(h, n, FACTOR_A)
-                at = np.flatnonzero(np.isin(runs, a) & (left[: len(runs)] >= n))
+    def hits(self, h: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, starts, numbers in ``windows``): windows of the items in texts laid end to end."""
+        for n, (a, b, _, _) in self.windows.items():
+            at = near_prints(h, left, n, self.gram, self.window, self.prints if n == self.window else a)
             if not len(at):
                 continue
             x, y = run_hash_at(h, at, n, FACTOR_A), run_hash_at(h, at, n, FACTOR_B)
@@ -114,75 +128,148 @@ class Block:
                 low[i] += 1
             at, place = at[place >= 0], place[place >= 0]
             if len(at):
-                yield n, at, [items[bounds[p] : bounds[p + 1]] for p in place]
-
+                yield n, at, place
 
-SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    def items_of(self, n: int, place: int) -> list[str]:
+        _, _, bounds, items = self.windows[n]
+        return [self.names[i] for i in items[bounds[place] : bounds[place + 1]].tolist() if self.names[i] is not None]
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _past(block, more: bool) -> Callable:
-    """Adds a block's hits to each document's spans and items."""
+def _past(block) -> Callable:
+    """Puts spans, items and the number of words in the place of each document's ``__text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = block.value
         for batch in batches:
-            rows = batch.num_rows
-            titles, columns = batch.schema.names, batch.columns
-            at = titles.index("__text")
-            own_columns, own_titles = [*columns[:at]], titles[:at]
-            before = at + 1 < len(titles)
-            spans = [[(x["start"], x["end"]) for x in v] for v in columns[at + 1].to_pylist()] if before else [[] for _ in range(rows)]
-            names = [set(v) for v in columns[at + 2].to_pylist()] if before else [set() for _ in range(rows)]
-            n_words = np.zeros(rows, np.int64)
-            for first, texts in groups(columns[at]):
+            *columns, column = batch.columns
+            spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            names: list[set[str]] = [set() for _ in range(batch.num_rows)]
+            n_words = np.zeros(batch.num_rows, np.int64)
+            for first, texts in groups(column):
                 each = [word_hashes(t) for t in texts]
                 sizes = np.array([len(x) for x in each], np.int64)
                 n_words[first : first + len(texts)] = sizes
                 starts = np.concatenate(([0], np.cumsum(sizes)))
                 doc = np.repeat(np.arange(len(each)), sizes)
                 left = starts[1:][doc] - np.arange(len(doc))
-                for n, places, items in own.hits(np.concatenate(each), left):
-                    for p, d, ids in zip(places.tolist(), doc[places].tolist(), items, strict=True):
-                        start = p - int(starts[d])
-                        held = spans[first + d]
-                        if held and held[-1][0] <= start <= held[-1][1]:
-                            held[-1] = (held[-1][0], max(start + n, held[-1][1]))
-                        else:
-                            held.append((start, start + n))
-                        names[first + d].update(own.names[i] for i in ids.tolist() if own.names[i] is not None)
-            spans = [_merged(x) for x in spans]
-            state = [
-                pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], SPANS),
-                pa.array([sorted(x) for x in names], pa.list_(pa.string())),
-            ]
-            if more:
-                yield pa.RecordBatch.from_arrays([*own_columns, columns[at], *state], [*own_titles, "__text", "__spans", "__items"])
-            else:
-                yield pa.RecordBatch.from_arrays([*own_columns, *state, pa.array(n_words)], [*own_titles, "__spans", "__items", "__n_words"])
+                cover = np.zeros(len(doc) + 1, np.int32)
+                for n, at, place in own.hits(np.concatenate(each), left):
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + n, -1)
+                    for d, p in np.unique(np.stack([doc[at], place]), axis=1).T.tolist():
+                        names[first + d].update(own.items_of(n, p))
+                inside = np.concatenate(([False], np.cumsum(cover)[:-1] > 0, [False]))
+                breaks = np.zeros(len(doc) + 1, bool)
+                breaks[starts] = True
+                begins = np.flatnonzero(inside[1:] & (~inside[:-1] | breaks))
+                ends = np.flatnonzero(inside[:-1] & (~inside[1:] | breaks))
+                for d, s, e in zip(doc[begins].tolist(), begins.tolist(), ends.tolist(), strict=True):
+                    spans[first + d].append({"start": s - int(starts[d]), "end": e - int(starts[d])})
+            state = [pa.array(spans, SPANS), pa.array([sorted(x) for x in names], pa.list_(pa.string())), pa.array(n_words)]
+            yield pa.RecordBatch.from_arrays([*columns, *state], [*batch.schema.names[:-1], "__spans", "__items", "__n_words"])
+
+    return run
+
+
+def _words_left(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    h = word_hashes(text or b"")
+    return h, len(h) - np.arange(len(h))
+
+
+def _rows(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Parts of equal columns end to end; a column of one value in a part is repeated."""
+    columns = []
+    for k in range(len(names)):
+        values = [np.full(len(part[-1]), part[k]) if np.ndim(part[k]) == 0 else part[k] for part in parts]
+        values = np.concatenate(values) if values else np.empty(0, np.int64)
+        columns.append(pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64)))
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def _item_windows(window: int) -> Callable:
+    """(item, text) to (item, n, a, b): the distinct windows of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                h = word_hashes(text or b"")
+                if n := min(len(h), window):
+                    a, b = np.unique(np.stack([run_hashes(h, n, f) for f in (FACTOR_A, FACTOR_B)]), axis=1)
+                    found = _rows([(n, a, b)], ["n", "a", "b"])
+                    item = pa.array([batch.column(0)[k].as_py()] * len(a), pa.string())
+                    yield pa.RecordBatch.from_arrays([item, *found.columns], ["item", "n", "a", "b"])
+
+    return run
+
+
+def _item_prints(window: int, gram: int) -> Callable:
+    """(text) to (n, p): what its windows are found by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                h, left = _words_left(text)
+                if n := min(len(h), window):
+                    yield _rows([(n, np.unique(prints_of(h, left, n, gram, window)[1]))], ["n", "p"])
+
+    return run
+
+
+def _text_prints(lengths: list[int], window: int, gram: int) -> Callable:
+    """(x, y, text) to (x, y, n, p) for all lengths of windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for (x, y), text in zip(keys, batch.column(2).to_pylist(), strict=True):
+                h, left = _words_left(text)
+                yield _rows([(x, y, n, np.unique(prints_of(h, left, n, gram, window)[1])) for n in lengths], ["x", "y", "n", "p"])
+
+    return run
+
+
+def _text_windows(window: int, gram: int) -> Callable:
+    """(x, y, text, prints of n and p) to (x, y, start, n, a, b): the windows around shared prints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, text, prints in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                h, left = _words_left(text)
+                parts = []
+                for n in sorted({r["n"] for r in prints}):
+                    own = np.array([r["p"] for r in prints if r["n"] == n], np.int64).view(np.uint64)
+                    at = near_prints(h, left, n, gram, window, own)
+                    parts.append((x, y, at, n, run_hash_at(h, at, n, FACTOR_A), run_hash_at(h, at, n, FACTOR_B)))
+                yield _rows(parts, ["x", "y", "start", "n", "a", "b"])
 
     return run
 
 
-def _blocks(items: DataFrame, block_bytes: int, window: int, gram: int) -> Iterator[Block]:
-    held, size = [], 0
-    for name, text in items.toLocalIterator():
-        held.append((name, bytes(text or b"")))
-        size += len(held[-1][1])
-        if size >= block_bytes:
-            yield Block(held, window, gram)
-            held, size = [], 0
-    if held:
-        yield Block(held, window, gram)
+def _joined(texts: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+    """``x, y, __spans, __items`` of the ``texts`` (x, y, text) with windows of ``items`` (item, text)."""
+    windows = save(items.mapInArrow(_item_windows(window), "item string, n long, a long, b long"), "item-windows")
+    prints = save(items.select("text").mapInArrow(_item_prints(window, gram), "n long, p long").distinct(), "item-prints")
+    lengths = sorted(r.n for r in prints.select("n").distinct().collect())  # at most ``window`` numbers
+    own = texts.mapInArrow(_text_prints(lengths, window, gram), "x long, y long, n long, p long")
+    shared = own.join(prints, ["n", "p"], "left_semi").groupBy("x", "y").agg(F.collect_set(F.struct("n", "p")).alias("prints"))
+    shared = save(shared, "shared-prints")
+    near = texts.join(shared, ["x", "y"]).groupBy("x", "y").agg(F.first("text").alias("text"), F.first("prints").alias("prints"))
+    near = near.mapInArrow(_text_windows(window, gram), "x long, y long, start long, n long, a long, b long")
+    key = ["n", "a", "b"]
+    hits = save(near.join(windows.select(*key).distinct(), key, "left_semi"), "hit-windows")
+    own_text = Window.partitionBy("x", "y").orderBy("start", "end")
+    spans = hits.select("x", "y", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
+    earlier = F.max("end").over(own_text.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.coalesce((F.col("start") > earlier).cast("int"), F.lit(1)))
+    spans = spans.withColumn("span", F.sum("new").over(own_text.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("x", "y", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    names = hits.select("x", "y", *key).distinct().join(windows.where("item IS NOT NULL").distinct(), key).select("x", "y", "item").distinct()
+    names = names.groupBy("x", "y").agg(F.sort_array(F.collect_list("item")).alias("__items"))
+    return save(spans.join(names, ["x", "y"], "left"), "hit-texts")
 
 
 def find_contamination(
@@ -203,25 +290,28 @@ def find_contamination(
     windows cover, ``__n_hit`` is their words, ``__items`` the ids, sorted as
     strings, of the items that have a window there.
 
-    At most ``block_bytes`` of item text (and one item) are on the driver and
-    broadcast at once. Null texts have no words. An item without an id hits but
-    is not listed; rows of equal item id are one item in the list. Rows of
-    ``docs`` with equal or null ids stay rows of their own. Other columns are
-    not read, and no column of ``keep`` has a name with leading ``__``.
+    Items of at most ``block_bytes`` (texts and ids) are broadcast, more are
+    joined. Null texts have no words. An item without an id hits but is not
+    listed; rows of equal item id are one item in the list. Rows of ``docs``
+    with equal or null ids stay rows of their own. Other columns are not read,
+    and no column of ``keep`` has a name with leading ``__``.
     """
     spark = docs.sparkSession
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    kept = [f"`{c}` {kinds[c]}" for c in keep]
-    found = docs.select(*keep, F.col(text_col).cast("binary").alias("__text"))
-    items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("binary"))
-    state = ["__spans array<struct<start: bigint, end: bigint>>", "__items array<string>"]
-    blocks = _blocks(items, block_bytes, window, gram)
-    block = next(blocks, Block([], window, gram))
-    while (after := next(blocks, None)) is not None:
-        schema = ", ".join([*kept, "__text binary", *state])
-        found = save(found.mapInArrow(_past(spark.sparkContext.broadcast(block), True), schema), "scanned")
-        block = after
-    found = found.mapInArrow(_past(spark.sparkContext.broadcast(block), False), ", ".join([*kept, *state, "__n_words long"]))
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("binary").alias("text"))
+    size = items.agg(F.sum(16 + F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("item"), F.lit(0)))).first()[0]
+    few = (size or 0) <= block_bytes
+    block = Block([(r["item"], bytes(r["text"] or b"")) for r in items.collect()] if few else [], window, gram)
+    key = [] if few else [F.xxhash64(text).alias("__x"), F.xxhash64(F.lit(1), text).alias("__y")]
+    schema = [*[f"`{c}` {kinds[c]}" for c in keep], *(["__x long", "__y long"] if key else [])]
+    schema += ["__spans array<struct<start: bigint, end: bigint>>", "__items array<string>", "__n_words long"]
+    found = docs.select(*keep, *key, text.alias("__text")).mapInArrow(_past(spark.sparkContext.broadcast(block)), ", ".join(schema))
+    if not few:
+        hits = _joined(docs.select(*[k.alias(c) for k, c in zip(key, "xy", strict=True)], text.alias("text")), items, window, gram)
+        hits = hits.toDF("__x", "__y", "__own_spans", "__own_items")
+        own = [F.coalesce(f"__own_{c}", f"__{c}").alias(f"__{c}") for c in ("spans", "items")]
+        found = found.join(hits, ["__x", "__y"], "left").select(*keep, *own, "__n_words")
     n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return found.select(*keep, "__n_words", n_hit.alias("__n_hit"), "__items", "__spans")
 

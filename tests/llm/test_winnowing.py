@@ -58,12 +58,26 @@ def test_equals_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
     assert result(df, bench) == want
-    assert result(df, bench, block_bytes=900) == want  # several blocks
+    assert result(df, bench, block_bytes=900) == want  # by joins
+    spans = lambda **more: sorted(map(str, find_contamination(df, bench, ["doc_id"], **more).select("doc_id", "__spans").collect()))
+    assert spans() == spans(block_bytes=900)
+
+
+def test_many_copies_and_frequent_short_items(spark):
+    docs = [(i, "w " * 30 + f"u{i % 3}") for i in range(60)] + [(100, "w u0 w w"), (None, "w"), (101, "x")]
+    items = [(1, "w"), (2, "w w w"), (3, "w " * 13), (None, "u0"), (4, "u1")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert result(df, bench) == result(df, bench, block_bytes=1) == brute(docs, items)
 
 
 def test_empty_tables_and_columns(spark, odd, none):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert all(r[2] == 0 for r in result(odd, empty))
+    no_words = spark.createDataFrame([(1, ""), (2, None)], "item_id long, text string")
+    assert result(odd, no_words, block_bytes=1) == result(odd, empty)
+    one = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert result(none, one, block_bytes=1) == []
+    assert find_contamination(odd, one, odd.columns, block_bytes=1).count() == len(TEXTS)
     assert result(none, empty) == []
     kept = find_contamination(odd, empty, odd.columns).where(~is_contaminated()).select(*odd.columns)
     assert kept.count() == len(TEXTS) and kept.schema.simpleString() == odd.schema.simpleString()
