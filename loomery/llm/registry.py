@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm.crf import held_out, score_quality, train
+from loomery.llm.infill import fill_in_middle, restored
 from loomery.llm.lines import dedup_lines
 from loomery.llm.mixing import mix_sources, word_count
 from loomery.llm.rules import judge
+from loomery.llm.secrets import BASE, FORMATS, Rule, listed, scan_secrets
 from loomery.sources.tables import load_table as table
 from loomery.llm.sharding import shard_rows
 from loomery.llm.simhash import near_duplicates
@@ -176,6 +178,65 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"), ["doc_id"], plain_percent=10, spm_percent=20, seed=1)
+    again = restored(F.col("output"), F.col("form"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP11_SQL = """
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, text, units, len(units)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS b,
+         CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM docs),
+cut AS (
+  SELECT doc_id, text, n, form, array_to_string(units[1:least(a, b)], '') AS p, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS m,
+         array_to_string(units[greatest(a, b) + 1:n], '') AS s FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"), ["doc_id"], BASE + FORMATS)
+    of = lambda kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of([r.kind])).cast("long").alias(f"n_{r.kind}") for r in BASE]
+    base = F.sha2(listed(of([r.kind for r in BASE])), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, listed(F.col("spans")).alias("spans"))
+
+
+def _spans_sql(number: int, rule: Rule) -> str:
+    """The spans of a rule in each text, found without an index."""
+    pattern = rule.pattern.replace("'", "''")
+    own = f"regexp_extract_all(text, '{pattern}')"
+    gaps = f"string_split_regex(text, '{pattern}')"
+    secret = f"regexp_extract_all(text, '{pattern}', {rule.group})"
+    at = f"list_sum(list_transform({gaps}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({own}[1:i - 1], lambda x: length(x))), 0)"
+    span = f"{{'start': ({at})::BIGINT, 'kind': {number}, 'end': ({at} + length({own}[i]))::BIGINT, 'ok': length({secret}[i]) >= {rule.least}}}"
+    return f"CASE WHEN regexp_matches(text, '{pattern}') THEN list_filter(list_transform(range(1, len({own}) + 1), lambda i: {span}), lambda s: s.ok) ELSE [] END"
+
+
+def _listed_sql(spans: str, names: list[str]) -> str:
+    kinds = "[" + ", ".join(f"'{n}'" for n in names) + "]"
+    return f"coalesce(array_to_string(list_transform({spans}, lambda s: {kinds}[s.kind + 1] || ':' || s.start || ':' || s.\"end\"), ','), '')"
+
+
+_ALL_SPANS = " || ".join(f"({_spans_sql(k, r)})" for k, r in enumerate(BASE + FORMATS))
+_KINDS = [r.kind for r in BASE + FORMATS]
+OP13_SQL = f"""
+SELECT doc_id, len(list_filter(spans, lambda s: s.kind = 0)) AS n_assign, len(list_filter(spans, lambda s: s.kind = 1)) AS n_access,
+       len(list_filter(spans, lambda s: s.kind = 2)) AS n_hex,
+       sha256({_listed_sql("list_filter(spans, lambda s: s.kind < 3)", _KINDS)}) AS base_sha256, {_listed_sql("spans", _KINDS)} AS spans
+FROM (SELECT doc_id, list_sort({_ALL_SPANS}) AS spans FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -187,6 +248,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -194,4 +257,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_warc_normaliser": OP6_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op9_benchmark_decontamination": OP9_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op13_secret_scan": OP13_SQL,
 }
