@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomery.llm.conversations import conversation_trie, with_digests
 from loomery.llm.crf import held_out, score_quality, train
 from loomery.llm.infill import fill_in_middle, restored
 from loomery.llm.lines import dedup_lines
@@ -203,6 +204,43 @@ FROM cut
 """
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_digests(conversation_trie(table(spark, sf_dir, "conversations"), group=100, most=6))
+
+
+OP12_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS r
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+drawn AS (SELECT c, n, c - c % 100 AS b, {CRC32} % 6 AS h FROM sizes),
+convs AS (SELECT drawn.c, drawn.b, h, least(h, coalesce(s.n, 0)) AS taken, least(h, coalesce(s.n, 0)) + greatest(drawn.n - h, 0) AS size
+          FROM drawn LEFT JOIN sizes s ON s.c = drawn.b),
+turns AS (
+  SELECT convs.c, r AS pos, role, text FROM convs JOIN t ON t.c = convs.b WHERE r < h
+  UNION ALL SELECT convs.c, r - h + taken, role, text FROM convs JOIN t ON t.c = convs.c WHERE r >= h),
+paths AS (
+  SELECT c, pos + 1 AS d, length(text) AS chars, array_to_string(list(md5(role) || md5(text)) OVER (PARTITION BY c ORDER BY pos), '') AS path FROM turns
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+nodes AS (
+  SELECT d, path, min(c) AS conv_id, count(*) AS n, min(chars) AS chars, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = size) AS ends
+  FROM paths JOIN convs USING (c) GROUP BY d, path),
+linked AS (
+  SELECT n.*, p.conv_id AS parent, p.path AS parent_path FROM nodes n
+  LEFT JOIN paths own ON own.c = n.conv_id AND own.d = n.d - 1 LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = own.path),
+kids AS (SELECT parent_path AS path, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY parent_path),
+below AS (
+  SELECT a.path, sum((n.n - 1) * n.chars)::BIGINT AS saved, count(*) FILTER (k.n_children IS NULL) AS leaves
+  FROM nodes n LEFT JOIN kids k ON k.path = n.path JOIN paths a ON a.c = n.conv_id AND a.d <= n.d GROUP BY a.path)
+SELECT conv_id, d::BIGINT AS depth, parent AS parent_conv_id, n AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children, leaves AS n_leaves,
+       saved AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM linked LEFT JOIN kids USING (path) JOIN below USING (path)
+"""
+_BYTE = "list_reduce(list_concat([xor(a, x)], range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))"
+CRC32 = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda z: ascii(z)::BIGINT)), lambda a, x: {_BYTE}), 4294967295)"
+OP12_SQL = OP12_SQL.replace("{CRC32}", CRC32)
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"), ["doc_id"], BASE + FORMATS)
     of = lambda kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
@@ -249,6 +287,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_secret_scan": op13_secret_scan,
 }
 
@@ -258,5 +297,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_substring_dedup": OP7_SQL,
     "op9_benchmark_decontamination": OP9_SQL,
     "op11_fill_in_middle": OP11_SQL,
+    "op12_conversation_trie": OP12_SQL,
     "op13_secret_scan": OP13_SQL,
 }
