@@ -1,8 +1,8 @@
 """Secret scans by an inverted index of trigrams.
 
 1. Of each rule's regular expression a Boolean query is derived: alternatives of
-   trigrams that every match holds (``trigrams``). A rule without a mandatory
-   trigram has none and is matched with every text.
+   trigrams that every match holds (``trigrams``), of which the rarest are asked
+   for. A rule without a mandatory trigram is matched with every text.
 2. The index lists, for each trigram that a query names, the texts that hold it
    (in any case of letters); texts are known by 128 bits of hash, so copies are
    listed once. It is a written table and can be asked for further rules whose
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm.names import named, numbered
-from loomery.llm.trigrams import ANY, trigram_query
+from loomery.llm.trigrams import ANY, Query, trigram_query
 from loomery.sources.scratch import save
 
 #: Candidate texts (24 bytes each) that are broadcast; more are joined by a shuffle.
@@ -72,6 +72,16 @@ FORMATS = (
 )
 
 
+#: Letters of usual texts, the commonest first; other characters are rarer.
+COMMON = "etaoinsrhldcumfpgwybvkxjqz"
+
+
+def selective(query: Query, most: int = 3) -> Query:
+    """``query`` with each alternative asking for at most ``most`` trigrams, those of rare characters; what answers ``query`` answers it."""
+    rank = lambda gram: (-sum(COMMON.index(c) if c in COMMON else len(COMMON) for c in gram), gram)
+    return frozenset(frozenset(sorted(grams, key=rank)[:most]) for grams in query)
+
+
 def _keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("__x"), F.xxhash64(F.lit(1), text).alias("__y")]
 
@@ -81,12 +91,13 @@ class TrigramIndex:
 
     def __init__(self, texts: DataFrame, grams: Iterable[str]) -> None:
         self.grams = sorted(set(grams))
-        lower = F.lower("text")
-        held = F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(g)), F.lit(k)) for k, g in enumerate(self.grams)])).cast("array<int>")
-        rows = texts.select(*_keys(F.col("text")), held.alias("held")).where(F.size("held") > 0)
-        self.postings = save(rows.select(F.explode("held").alias("gram"), "__x", "__y"), "trigram-index")
+        held = lambda text: F.array_compact(F.array(*[F.when(F.contains(text, F.lit(g)), F.lit(k)) for k, g in enumerate(self.grams)])).cast("array<int>")
+        # as an element, the text is put into lower case once, not again for each trigram
+        held = F.get(F.transform(F.array(F.lower("text")), held), F.lit(0))
+        rows = texts.select(*_keys(F.col("text")), held.alias("held"))
+        self.postings = save(rows.select(F.explode_outer("held").alias("gram"), "__x", "__y").where("gram IS NOT NULL"), "trigram-index")
 
-    def candidates(self, queries: dict[int, frozenset[frozenset[str]]]) -> DataFrame:
+    def candidates(self, queries: dict[int, Query]) -> DataFrame:
         """``__x, __y, rules``: for each text a bit for every rule whose query it answers. Asks of 63 rules at most."""
         place = {g: k for k, g in enumerate(self.grams)}
         alternatives = [(rule, sorted(place[g] for g in some)) for rule, query in queries.items() for some in sorted(query, key=sorted)]
@@ -134,7 +145,7 @@ def scan_secrets(df: DataFrame, keep: Iterable[str], rules: Iterable[Rule] = BAS
     keep, rules = list(keep), list(rules)
     if len(rules) > 63:
         raise ValueError("at most 63 rules at once")
-    queries = {k: trigram_query(r.pattern) for k, r in enumerate(rules)}
+    queries = {k: selective(trigram_query(r.pattern)) for k, r in enumerate(rules)}
     indexed = {k: q for k, q in queries.items() if q != ANY}
     rows = df.select(*numbered(keep), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("*", *_keys(F.col("text")))
