@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomery.functions import text as fn
 from loomery.operators import documents as ops
+from loomery.operators import similarity
 from loomery.sources.scratch import new_path
 from loomery.sources.tables import load_table, write_table
 
@@ -49,6 +50,10 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.upsert(events.where("event_type <> 'view'"), events.where("event_type = 'view'"), "user_id", "event_id")
 
 
+def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.similar_texts(docs(spark, sf_dir)).pairs.withColumn("jaccard", F.round("jaccard", 6))
+
+
 QUERIES = {
     "d1_load_table": lambda s, d: docs(s, d).select("doc_id", "lang", "source", "n_chars"),
     "d2_tokenize": lambda s, d: ops.tokenize(docs(s, d)),
@@ -60,6 +65,8 @@ QUERIES = {
     "d6_keyword_search": search_modes,
     "d7_phrase_search": lambda s, d: ops.phrase_search(docs(s, d), ["of", "the"]),
     "d8_chunk": lambda s, d: ops.chunk(docs(s, d), 500, 50),
+    "d10_near_dup": lambda s, d: similarity.link_counts(similarity.similar_texts(docs(s, d))),
+    "d10_near_dup_pairs": near_pairs,
     "d16_html_text": lambda s, d: load_table(s, d, "pages").select("page_id", fn.html_text("html").alias("text")),
     "d16_html_title": lambda s, d: load_table(s, d, "pages").select("page_id", fn.html_title("html").alias("title")),
     "d16_html_links": links,
@@ -79,6 +86,17 @@ BM25 = f"""
   JOIN (SELECT doc_id, len({TERMS}) AS dl FROM documents) USING (doc_id),
   (SELECT count(*) AS n, avg(len({TERMS})) AS avgdl FROM documents) GROUP BY doc_id"""
 
+#: Shingle sets, their classes, and pairs of similar classes, met by a join of all shingles.
+SIMILAR = r"""WITH w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  sets AS (
+    SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w),
+  members AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id, s FROM sets),
+  classes AS (SELECT class_id AS c, len(s) AS n, unnest(s) AS x FROM members WHERE doc_id = class_id),
+  met AS (SELECT p.c AS a, q.c AS b, p.n + q.n AS total, count(*) AS common FROM classes p JOIN classes q ON p.x = q.x AND p.c < q.c GROUP BY ALL),
+  pairs AS (SELECT a, b, common / (total - common)::DOUBLE AS jaccard FROM met WHERE 9 * common >= 4 * total)"""
+
 ORACLE_SQL = {
     "d1_load_table": "SELECT doc_id, lang, source, n_chars FROM documents",
     "d2_tokenize": f"SELECT doc_id, (unnest(range(len(t))))::INT AS pos, unnest(t) AS term FROM (SELECT doc_id, {TERMS} AS t FROM documents)",
@@ -100,6 +118,8 @@ ORACLE_SQL = {
         WHERE term = 'of' AND after = 'the' GROUP BY doc_id""",
     "d8_chunk": """SELECT doc_id, pos::INT AS pos, substr(text, pos * 450 + 1, 500) AS chunk FROM (
           SELECT doc_id, text, unnest(range(greatest(ceil((length(text) - 500) / 450.0), 0)::BIGINT + 1)) AS pos FROM documents WHERE length(text) > 0)""",
+    "d10_near_dup": f"""{SIMILAR} SELECT doc_id, class_id, count(a) AS n_links FROM members LEFT JOIN pairs ON class_id IN (a, b) GROUP BY doc_id, class_id""",
+    "d10_near_dup_pairs": f"{SIMILAR} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs",
     "d16_html_text": r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(
           regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
           '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS text FROM pages""",
