@@ -17,7 +17,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.functions.vector import dot, l2_norm
 from loomery.sources.scratch import save
 
 #: Size of a block, as double precision: of a side that is broadcast, and of either side of a group.
@@ -200,35 +199,6 @@ def assign(df: DataFrame, means: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, embedding array<float>, list_id long, distance double")
 
 
-class IvfIndex:
-    """Inverted lists: every vector under its nearest of ``n_lists`` k-means centres.
-
-    The centres are fitted on at most ``fit_rows`` vectors, those that a hash of
-    the id puts first; every vector is indexed. The index is a table sorted into
-    lists in the shared folder.
-    """
-
-    def __init__(self, df: DataFrame, n_lists: int = 16, fit_rows: int = 20_000, seed: int = 7, rounds: int = 15) -> None:
-        sample = df.where(F.col("embedding").isNotNull()).orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows)
-        points = np.array([r.embedding for r in sample.select("embedding").collect()], np.float64)
-        rng = np.random.default_rng(seed)
-        means = points[rng.permutation(len(points))[: min(n_lists, len(points))]]
-        for _ in range(rounds):
-            near = _scores(points, means, "l2").argmax(1)
-            means = np.stack([points[near == c].mean(0) if (near == c).any() else means[c] for c in range(len(means))])
-        spark = df.sparkSession
-        self.means = spark.createDataFrame([(c, m.tolist()) for c, m in enumerate(means)], "vec_id long, embedding array<double>")
-        self.lists = save(assign(df, self.means).repartition("list_id").sortWithinPartitions("list_id"), "ivf")
-
-    def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
-        """The k nearest by cosine among the lists of the ``probes`` nearest centres."""
-        probed = best(_search(queries, self.means, "l2", probes, None, others=False), probes).select("query_id", F.col("vec_id").alias("list_id"))
-        probed = probed.join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-        pairs = probed.join(self.lists, "list_id").where("query_id <> vec_id")
-        score = dot("q", "embedding") / F.nullif(l2_norm("q") * l2_norm("embedding"), F.lit(0.0))
-        return best(pairs.select("query_id", "vec_id", score.alias("score")).where("score IS NOT NULL"), k)
-
-
 def knn_lsh(queries: DataFrame, base: DataFrame, k: int, bucket: float = 1.0, tables: int = 12, farthest: float = 1.5, seed: int = 3) -> DataFrame:
     """The k nearest by Euclidean distance among those that share a random-projection bucket within ``farthest``.
 
