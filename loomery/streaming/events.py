@@ -7,14 +7,14 @@ returns one; ``run`` drives a query over what is available and ends.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from loomery.operators.documents import upsert
 from loomery.sources.scratch import new_path
+from loomery.streaming.upserts import UpsertTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -116,34 +116,11 @@ def count_per_user(events: DataFrame) -> DataFrame:
     )
 
 
-def upsert_sink(path: str, key: str, version: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the latest version of each key.
-
-    Each batch's state is a folder of its own, ``v=<batch>``, made from the one
-    before, so a batch that is run again after a failure gives the same state.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.createDataFrame([], batch.schema)
-        if number > 0:
-            before = spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}")
-        upsert(before, batch, key, version).write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    return write
-
-
-def run_upsert(stream: DataFrame, key: str, version: str) -> DataFrame:
-    """Run an available-now query into ``upsert_sink`` and return the last state."""
+def run_upsert(stream: DataFrame, key: str, version: str, every: int = 8) -> DataFrame:
+    """Run an available-now query into an ``UpsertTable`` and return its state."""
     spark = stream.sparkSession
     path, state = new_path(spark, "upsert"), new_path(spark, "stream-checkpoint")
-    done: list[int] = []
-    sink = upsert_sink(path, key, version)
-
-    def write(batch: DataFrame, number: int) -> None:
-        sink(batch, number)
-        done.append(number)
-
-    query = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).queryName(f"u{uuid.uuid4().hex}").start()
+    table = UpsertTable(spark, path, stream.schema, key, version, every=every)
+    query = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(table.write).queryName(f"u{uuid.uuid4().hex}").start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/v={max(done)}") if done else spark.createDataFrame([], stream.schema)
+    return table.state()
