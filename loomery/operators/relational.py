@@ -39,3 +39,14 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int) ->
     """The first k rows of each group with their ``place``; Spark limits groups before the shuffle."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn("place", place).where(F.col("place") <= k)
+
+
+def lateral_top(left: DataFrame, right: DataFrame, left_on: str, right_on: str, order: list[Column], k: int) -> DataFrame:
+    """Each row of ``left`` with the first k rows of ``right`` of equal key, by a correlated lateral join.
+
+    Rows without a match, and null keys, have none. Spark decorrelates it into a
+    ranking within keys of ``right`` and an equi-join, and cuts groups before the
+    shuffle. The two tables must not share names of columns.
+    """
+    own = right.where(F.col(right_on) == F.col(left_on).outer()).orderBy(*order).limit(k)
+    return left.lateralJoin(own)

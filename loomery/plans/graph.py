@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.functions.text import terms
 from loomery.operators import graph as ops
-from loomery.operators import vectors
+from loomery.operators import entities, similarity, vectors
+from loomery.plans.documents import SIMILAR
 from loomery.plans.vectors import COSINE
 from loomery.sources.scratch import save
 from loomery.sources.tables import load_table
@@ -65,6 +66,21 @@ def same_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.resolve_entities(links)
 
 
+def part_score(a: entities.Side, b: entities.Side) -> Column:
+    """Weighted agreement of brand, size, noun, adjective and type; none where prices are over 10 apart."""
+    word = lambda side, k: F.split(side("p_name"), " ")[k]
+    agrees = [(3, a("p_brand") == b("p_brand")), (3, a("p_size") == b("p_size")), (2, word(a, 1) == word(b, 1)), (1, word(a, 0) == word(b, 0)), (1, a("p_type") == b("p_type"))]
+    points = sum((F.when(same, n).otherwise(0) for n, same in agrees), F.lit(0))
+    return F.when(F.abs(a("p_retailprice") - b("p_retailprice")) <= 10, points).otherwise(0)
+
+
+def like_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that agree in three of five properties, score 7 of 10 and cost about the same are one entity."""
+    word = lambda k: F.split("p_name", " ")[k]
+    keys = [F.col("p_brand"), F.col("p_size"), word(1), word(0), F.col("p_type")]
+    return entities.resolve_records(load_table(spark, sf_dir, "part"), "p_partkey", keys, 3, part_score, 7)
+
+
 def cooccurring(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load_table(spark, sf_dir, "documents").select("doc_id", terms("text").alias("t"))
     return ops.cooccurrence(rows, 2)
@@ -92,6 +108,8 @@ QUERIES = {
     "g11_common_neighbors": lambda s, d: ops.common_neighbors(near(s, d)).withColumn("jaccard", F.round("jaccard", 6)),
     "g12_cooccurrence": cooccurring,
     "g13_resolve_entities": same_parts,
+    "g13_resolve_parts": like_parts,
+    "g13_resolve_documents": lambda s, d: entities.resolve_texts(similarity.similar_texts(load_table(s, d, "documents"))),
     "g14_knn_graph": lambda s, d: near(s, d).withColumn("score", F.round("score", 6)),
     "g15_expand": expanded,
 }
@@ -147,6 +165,14 @@ ORACLE_SQL = {
         FROM t x JOIN t y ON x.doc_id = y.doc_id AND y.pos IN (x.pos + 1, x.pos + 2) AND x.term <> y.term GROUP BY 1, 2""",
     "g13_resolve_entities": """SELECT p_partkey AS id, canonical FROM (
           SELECT p_partkey, min(p_partkey) OVER w AS canonical, count(*) OVER w AS n FROM part WINDOW w AS (PARTITION BY p_brand, p_type, p_size)) WHERE n > 1""",
+    "g13_resolve_parts": """WITH RECURSIVE p AS (SELECT *, string_split(p_name, ' ') AS w FROM part),
+        links AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_partkey <> b.p_partkey AND abs(a.p_retailprice - b.p_retailprice) <= 10
+          AND 3 * (a.p_brand = b.p_brand)::INT + 3 * (a.p_size = b.p_size)::INT + 2 * (a.w[2] = b.w[2])::INT + (a.w[1] = b.w[1])::INT + (a.p_type = b.p_type)::INT >= 7),
+        walk AS (SELECT p_partkey AS id, p_partkey AS seen FROM part UNION SELECT id, b FROM walk JOIN links ON a = seen)
+        SELECT id, min(seen) AS canonical FROM walk GROUP BY id""",
+    "g13_resolve_documents": SIMILAR.replace("WITH", "WITH RECURSIVE", 1) + """, links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+        walk AS (SELECT c AS id, c AS seen FROM (SELECT DISTINCT class_id AS c FROM members) UNION SELECT id, b FROM walk JOIN links ON a = seen)
+        SELECT doc_id AS id, canonical FROM members JOIN (SELECT id AS class_id, min(seen) AS canonical FROM walk GROUP BY id) USING (class_id)""",
     "g14_knn_graph": f"WITH {NEAR} SELECT src, dst, round(score, 6) AS score FROM near",
     "g15_expand": f"""WITH RECURSIVE {EDGES}, {BOTH},
         hits AS (SELECT 'customer:' || c_custkey AS id FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10), {_walk("SELECT id, 0 AS depth FROM hits", 2)}

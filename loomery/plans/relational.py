@@ -60,6 +60,25 @@ def lateral(s: SparkSession, d: str) -> DataFrame:
     return ops.top_per_group(rows, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 2)
 
 
+def _placed(found: DataFrame) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return found.select("o_custkey", "o_orderkey", "o_totalprice", place.alias("place"))
+
+
+def lateral_join(s: SparkSession, d: str) -> DataFrame:
+    """The two dearest orders of each customer, by DataFrame.lateralJoin."""
+    found = ops.lateral_top(load(s, d, "customer").select("c_custkey"), load(s, d, "orders"), "c_custkey", "o_custkey", [F.desc("o_totalprice"), F.asc("o_orderkey")], 2)
+    return _placed(found)
+
+
+def lateral_sql(s: SparkSession, d: str) -> DataFrame:
+    """The same by a correlated LATERAL subquery."""
+    return _placed(s.sql("""
+        SELECT o_custkey, o_orderkey, o_totalprice FROM {customer} c,
+        LATERAL (SELECT o_custkey, o_orderkey, o_totalprice FROM {orders} o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)""",
+        customer=load(s, d, "customer"), orders=load(s, d, "orders")))
+
+
 def aggregated(s: SparkSession, d: str) -> DataFrame:
     line = load(s, d, "lineitem")
     return line.groupBy("l_returnflag", "l_linestatus").agg(
@@ -275,6 +294,8 @@ QUERIES = {
     "r3_range_join": ranged,
     "r4_asof_join": asof,
     "r5_lateral_top": lateral,
+    "r5_lateral_join": lateral_join,
+    "r5_lateral_sql": lateral_sql,
     "r6_aggregate": aggregated,
     "r7_grouping_sets": grouped,
     "r8_ranking": ranked,
@@ -295,6 +316,8 @@ QUERIES = {
     "r21_recursive": recursive,
 }
 
+TOP_ORDERS = """SELECT o_custkey, o_orderkey, o_totalprice,
+    (row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey))::INT AS place FROM orders QUALIFY place <= 2"""
 NET = "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS net FROM lineitem GROUP BY l_orderkey"
 JOIN = "(SELECT * FROM customer WHERE c_acctbal > 0) c {0} JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c_custkey = o_custkey"
 SETS = {"union": "UNION", "union_all": "UNION ALL", "intersect": "INTERSECT", "intersect_all": "INTERSECT ALL", "except": "EXCEPT", "except_all": "EXCEPT ALL"}
@@ -313,8 +336,9 @@ ORACLE_SQL = {
     "r4_asof_join": """SELECT c.user_id, c.event_id, p.purchase_id FROM (SELECT * FROM events WHERE event_type = 'click') c
         ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS purchase_id FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) p
         ON c.user_id = p.user_id AND c.ts >= p.ts""",
-    "r5_lateral_top": """SELECT o_custkey, o_orderkey, o_totalprice,
-        (row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey))::INT AS place FROM orders QUALIFY place <= 2""",
+    "r5_lateral_top": TOP_ORDERS,
+    "r5_lateral_join": TOP_ORDERS,
+    "r5_lateral_sql": TOP_ORDERS,
     "r6_aggregate": """SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_partkey) AS n_parts, round(sum(l_quantity), 2) AS quantity,
         round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, count(*) FILTER (l_discount > 0.05) AS n_discounted
         FROM lineitem GROUP BY l_returnflag, l_linestatus""",

@@ -231,3 +231,12 @@ def test_hybrid_and_recall(spark):
     b = spark.createDataFrame([(2, 1), (3, 2)], "id long, place int")
     assert [r.id for r in vectors.hybrid(a, b, 3).collect()] == [2, 1, 3]
     assert np.isclose(vectors.hybrid(a, b, 1).first().score, 1 / 61 + 1 / 62)
+
+
+@pytest.mark.parametrize("name", ["r5_lateral_join", "r5_lateral_sql"])
+def test_lateral_joins_are_decorrelated(spark, name):
+    plan = relational_plans.QUERIES[name](spark, SF)._jdf.queryExecution()
+    assert "LateralJoin" in plan.analyzed().toString()
+    optimized, physical = plan.optimizedPlan().toString(), plan.executedPlan().toString()
+    assert "LateralJoin" not in optimized and "outer(" not in optimized and "NestedLoop" not in physical and "CartesianProduct" not in physical
+    assert "row_number" in optimized and "WindowGroupLimit" in physical
