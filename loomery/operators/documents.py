@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.functions.text import personal_spans, redacted
 from loomery.functions.text import terms as terms_of
 from loomery.sources.scratch import save
 
@@ -108,6 +109,30 @@ def chunk(docs: DataFrame, size: int, overlap: int = 0, id_col: str = "doc_id",
     return rows.select(id_col, "pos", F.substring(F.col(text_col), F.col("pos") * step + 1, F.lit(size)).alias("chunk"))
 
 
+def boilerplate_lines(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``line, n_docs, n``: lines with a word that stand in ``min_docs`` documents or more, and how often they stand anywhere.
+
+    Lines are known by 128 bits of hash. They are counted by line and document
+    first, so that a line in all documents is dealt over tasks, and then by line,
+    with partial sums. Only lines that are found are fetched as text, in a second
+    reading. Rows of one id are one document; rows without an id are one as well.
+    """
+    lines = docs.select(id_col, F.explode_outer(F.split(text_col, "\n")).alias("line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    x, y = F.xxhash64("line"), F.xxhash64(F.lit(1), "line")
+    each = lines.groupBy(x.alias("x"), y.alias("y"), id_col).agg(F.count(F.lit(1)).alias("n"))
+    found = each.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n")).where(F.col("n_docs") >= min_docs)
+    found = save(found, "frequent-lines")
+    few = found.count() <= 500_000  # 32 bytes each
+    texts = lines.select(x.alias("x"), y.alias("y"), "line").join(F.broadcast(found) if few else found, ["x", "y"])
+    return texts.groupBy("x", "y", "n_docs", "n").agg(F.first("line").alias("line")).select("line", "n_docs", "n")
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, spans, text``: personal spans (start, end, kind) of each text and the text without them. A null text stays null and has no spans."""
+    rows = docs.select(id_col, F.col(text_col).alias("text"), personal_spans(text_col).alias("spans"))
+    return rows.select(id_col, "spans", redacted("text", F.col("spans")).alias("text"))
+
+
 def doc_stats(docs: DataFrame) -> DataFrame:
     """Documents, characters and terms by language and source."""
     rows = docs.select("lang", "source", F.length("text").alias("chars"), F.size(terms_of("text")).alias("n_terms"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.functions import text as fn
 from loomery.operators import documents as ops
-from loomery.operators import similarity
+from loomery.operators import lsh, similarity
 from loomery.sources.scratch import new_path
 from loomery.sources.tables import load_table, write_table
 
@@ -54,6 +55,19 @@ def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_texts(docs(spark, sf_dir)).pairs.withColumn("jaccard", F.round("jaccard", 6))
 
 
+def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a model that was stored and loaded again."""
+    path = new_path(spark, "minhash-model")
+    lsh.minhash_model(spark).save(path)
+    return lsh.similar_texts_lsh(docs(spark, sf_dir), PipelineModel.load(path)).pairs.withColumn("jaccard", F.round("jaccard", 6))
+
+
+def redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ops.redact(docs(spark, sf_dir))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", spans.alias("spans"), F.md5("text").alias("text_md5"))
+
+
 QUERIES = {
     "d1_load_table": lambda s, d: docs(s, d).select("doc_id", "lang", "source", "n_chars"),
     "d2_tokenize": lambda s, d: ops.tokenize(docs(s, d)),
@@ -67,6 +81,9 @@ QUERIES = {
     "d8_chunk": lambda s, d: ops.chunk(docs(s, d), 500, 50),
     "d10_near_dup": lambda s, d: similarity.link_counts(similarity.similar_texts(docs(s, d))),
     "d10_near_dup_pairs": near_pairs,
+    "d11_near_dup_lsh": lsh_pairs,
+    "d12_boilerplate_lines": lambda s, d: ops.boilerplate_lines(docs(s, d), 5),
+    "d14_redact": redactions,
     "d16_html_text": lambda s, d: load_table(s, d, "pages").select("page_id", fn.html_text("html").alias("text")),
     "d16_html_title": lambda s, d: load_table(s, d, "pages").select("page_id", fn.html_title("html").alias("title")),
     "d16_html_links": links,
@@ -97,6 +114,24 @@ SIMILAR = r"""WITH w AS (
   met AS (SELECT p.c AS a, q.c AS b, p.n + q.n AS total, count(*) AS common FROM classes p JOIN classes q ON p.x = q.x AND p.c < q.c GROUP BY ALL),
   pairs AS (SELECT a, b, common / (total - common)::DOUBLE AS jaccard FROM met WHERE 9 * common >= 4 * total)"""
 
+HOST = "{0}(\\.{0}){{3}}".format("(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])")
+
+
+def _spans_sql(pattern: str, kind: str, valid: str) -> str:
+    at = "coalesce(list_sum(list_transform({0}[1:{1}], lambda x: length(x))), 0)"
+    gaps, found = f"string_split_regex(text, '{pattern}')", f"regexp_extract_all(text, '{pattern}')"
+    start = at.format(gaps, "i") + " + " + at.format(found, "i - 1")
+    span = f"{{'start': ({start})::BIGINT, 'end': ({start} + length({found}[i]))::BIGINT, 'kind': '{kind}', 'ok': {valid.replace('FOUND', f'{found}[i]')}}}"
+    return f"list_filter(list_transform(range(1, len({found}) + 1), lambda i: {span}), lambda s: s.ok)"
+
+
+REDACT = f"""WITH one AS (SELECT doc_id, text, {_spans_sql(fn.EMAIL, "email", "true")} AS mails,
+      {_spans_sql(fn.IPV4, "ipv4", f"regexp_full_match(FOUND, '{HOST}')")} AS hosts FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+    both_kinds AS (SELECT doc_id, text, list_sort(mails || list_filter(hosts, lambda h: len(list_filter(mails, lambda m: m.start < h."end" AND h.start < m."end")) = 0)) AS s FROM one)
+  SELECT doc_id, coalesce(array_to_string(list_transform(s, lambda x: x.kind || ':' || x.start || ':' || x."end"), ','), '') AS spans,
+    md5(coalesce(array_to_string(list_transform(range(1, len(s) + 1), lambda i:
+      text[coalesce(s[i - 1]."end", 0) + 1 : s[i].start] || '[' || upper(s[i].kind) || ']'), ''), '') || text[coalesce(s[-1]."end", 0) + 1 :]) AS text_md5 FROM both_kinds"""
+
 ORACLE_SQL = {
     "d1_load_table": "SELECT doc_id, lang, source, n_chars FROM documents",
     "d2_tokenize": f"SELECT doc_id, (unnest(range(len(t))))::INT AS pos, unnest(t) AS term FROM (SELECT doc_id, {TERMS} AS t FROM documents)",
@@ -120,6 +155,9 @@ ORACLE_SQL = {
           SELECT doc_id, text, unnest(range(greatest(ceil((length(text) - 500) / 450.0), 0)::BIGINT + 1)) AS pos FROM documents WHERE length(text) > 0)""",
     "d10_near_dup": f"""{SIMILAR} SELECT doc_id, class_id, count(a) AS n_links FROM members LEFT JOIN pairs ON class_id IN (a, b) GROUP BY doc_id, class_id""",
     "d10_near_dup_pairs": f"{SIMILAR} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs",
+    "d12_boilerplate_lines": r"""SELECT line, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT doc_id) >= 5""",
+    "d14_redact": REDACT,
     "d16_html_text": r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(
           regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
           '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS text FROM pages""",
