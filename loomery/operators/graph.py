@@ -7,12 +7,17 @@ tables to the shared folder, which cuts lineage and outlives a lost executor.
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.operators.components import connected_components
-from loomery.sources.scratch import save
+from loomery.sources.scratch import discard, save
+
+
+#: Steps of a path that one plan holds.
+HOPS = 16
 
 
 def triples(tables: dict[str, DataFrame]) -> DataFrame:
@@ -124,9 +129,10 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int | None
     spark = edges.sparkSession
     links = _links(edges)
     seen = save(spark.range(1).select(F.lit(start).alias("id"), F.lit(None).cast("string").alias("via"), F.lit(0).alias("depth")), "path")
-    frontier, found = seen, start == end
+    frontier, found, levels, depth = seen, start == end, [], 0
     for depth in itertools.count(1):
         if found:
+            depth -= 1
             break
         if max_depth is not None and depth > max_depth:
             raise RuntimeError(f"no path within {max_depth} steps, and not all nodes met")
@@ -134,15 +140,24 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int | None
         frontier = save(ahead.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "path")
         if frontier.isEmpty():
             break
+        levels.append(frontier)
         seen = seen.unionByName(frontier)
-        if depth % 16 == 0:  # a table of few parts, however long the path
+        if depth % HOPS == 0:  # a table of few parts, however long the path
             seen = save(seen, "path")
         found = not frontier.where(F.col("id") == end).isEmpty()
-    steps, at = [], end if found else None
-    while at is not None:  # one row a step
-        row = seen.where(F.col("id") == at).first()
-        steps.append((row.depth, at))
-        at = row.via
+    if not found:
+        return spark.createDataFrame([], "step int, id string")
+    steps, at = [(depth, end)] if levels else [(0, end)], end
+    while levels:  # a job for some levels: a row of each, by the row before
+        some, levels = levels[-HOPS:], levels[:-HOPS]
+        row = some[-1].where(F.col("id") == at).select("depth", "via")
+        rows = [row]
+        for level in some[-2::-1]:
+            row = level.join(F.broadcast(row.select(F.col("via").alias("id"))), "id").select("depth", "via")
+            rows.append(row)
+        found = sorted(reduce(DataFrame.unionByName, rows).collect(), reverse=True)
+        steps += [(r.depth - 1, r.via) for r in found]
+        at = found[-1].via
     return spark.createDataFrame(steps, "step int, id string")
 
 
@@ -159,26 +174,38 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.join(least, "root").select(F.col("node").alias("id"), "component")
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 200) -> DataFrame:
     """``id, rank``; ranks sum to 1. What nodes without out-edges hold is shared among all.
 
+    Rank that a node has but hasn't passed on is its residual. Each round the
+    nodes with residual pass it on, those whose share of it is under
+    ``tolerance`` of the usual rank excepted; it ends when there are none, so a
+    graph without cycles takes as many rounds as its longest path. Nodes without
+    out-edges need no part in that: sharing what they hold evenly only scales
+    the ranks, so these are divided by their sum at last.
+
     Contributions form partial sums before their shuffle, so a node that much
     points at costs no more than others; what a node sends is joined by source,
     where a large one may be split.
     """
-    links = edges.groupBy("src", "dst").agg(F.lit(1.0).alias("w"))
+    links = edges.groupBy("src", "dst").agg(F.lit(1).alias("w"))
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    links = save(links.join(out, "src").select("src", "dst", (1 / F.col("out")).alias("share")), "links")
-    nodes = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct()
-    nodes = save(nodes.join(out.select(F.col("src").alias("id"), "out"), "id", "left"), "nodes")
-    n = nodes.count()
-    ranks = nodes.select("id", "out", F.lit(1.0 / max(1, n)).alias("rank"))
-    for _ in range(rounds):
-        lost = ranks.where("out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)
-        ranks = save(nodes.join(given, "id", "left").select("id", "out", rank.alias("rank")), "ranks")
-    return ranks.select("id", "rank")
+    links = save(links.join(out, "src").select("src", "dst", (damping / F.col("out")).alias("share")), "links")
+    ends = links.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.lit(1).alias("w"))
+    state = save(ends.select("id", F.lit(0.0).alias("rank"), F.lit(1.0).alias("rest")), "ranks")
+    active = F.col("rest") > tolerance
+    for _ in range(most_rounds):
+        passed = links.join(state.where(active).select(F.col("id").alias("src"), "rest"), "src")
+        given = passed.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rest") * F.col("share")).alias("got"))
+        rest = F.when(active, 0.0).otherwise(F.col("rest")) + F.coalesce("got", F.lit(0.0))
+        rank = F.col("rank") + F.when(active, F.col("rest")).otherwise(0.0)
+        before, state = state, save(state.join(given, "id", "left").select("id", rank.alias("rank"), rest.alias("rest")), "ranks")
+        discard(before)
+        if state.where(active).isEmpty():
+            break
+    whole = state.select("id", (F.col("rank") + F.col("rest")).alias("rank"))
+    total = whole.agg(F.sum("rank").alias("total"))
+    return whole.join(F.broadcast(total)).select("id", (F.col("rank") / F.col("total")).alias("rank"))
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
