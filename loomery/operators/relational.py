@@ -5,21 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.sources.scratch import save
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str]) -> DataFrame:
     """``left`` with ``values`` of the last row of ``right`` at or before it, by equal ``by``.
 
-    Both sides are united and a window carries the last right row forward: one
-    shuffle by ``by``, and no pair of rows is formed. Rows of ``right`` at the
-    same time must not differ in ``values``. Left rows without one have nulls.
+    Both sides are united and dealt into ranges of (``by``, time), each of which
+    is scanned alone; what a range ends with is carried into those after it by a
+    table of a row for each key and range. So a key of any size fills many
+    tasks, and no pair of rows is formed. Rows of ``right`` at the same time
+    must not differ in ``values``. Left rows without one, or without a time,
+    have nulls; null keys equal each other.
     """
     carried = F.struct(*values)
     shape = F.struct(*left.columns)
     a = left.select(*by, F.col(left_on).alias("__at"), F.lit(1).alias("__side"), shape.alias("__row"), F.lit(None).cast(right.select(carried.alias("x")).schema["x"].dataType).alias("__v"))
-    b = right.select(*by, F.col(right_on).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(shape.alias("x")).schema["x"].dataType).alias("__row"), carried.alias("__v"))
-    order = Window.partitionBy(*by).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = a.unionByName(b).withColumn("__v", F.last("__v", ignorenulls=True).over(order)).where("__side = 1")
-    return joined.select("__row.*", *[F.col(f"__v.{v}").alias(v) for v in values])
+    b = right.where(F.col(right_on).isNotNull()).select(*by, F.col(right_on).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(shape.alias("x")).schema["x"].dataType).alias("__row"), carried.alias("__v"))
+    rows = a.unionByName(b).repartitionByRange(*by, "__at", "__side").withColumn("__range", F.spark_partition_id())
+    rows = save(rows, "asof-ranges")
+    last = rows.groupBy(*by, "__range").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("__at"))).alias("__last"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select(*[F.col(c).alias(f"__by{k}") for k, c in enumerate(by)], F.col("__range").alias("__at_range"), F.last("__last", ignorenulls=True).over(before).alias("__before"))
+    order = Window.partitionBy(*by, "__range").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("__v", F.last("__v", ignorenulls=True).over(order)).where("__side = 1")
+    same = F.col("__range") == F.col("__at_range")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{k}"))
+    value = F.when(F.col("__at").isNotNull(), F.coalesce("__v", "__before"))
+    return found.join(last, same, "left").select("__row.*", *[value.getField(v).alias(v) for v in values])
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:

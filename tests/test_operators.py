@@ -252,3 +252,25 @@ def test_lateral_joins_are_decorrelated(spark, name):
     optimized, physical = plan.optimizedPlan().toString(), plan.executedPlan().toString()
     assert "LateralJoin" not in optimized and "outer(" not in optimized and "NestedLoop" not in physical and "CartesianProduct" not in physical
     assert "row_number" in optimized and "WindowGroupLimit" in physical
+
+
+def test_asof_join_of_one_key_in_many_ranges(spark):
+    """One user with nearly all events, ties in time, nulls; against a scan in Python."""
+    rng = np.random.default_rng(5)
+    users = [None if u == 9 else int(u) for u in np.where(rng.random(4000) < 0.95, 1, rng.integers(2, 10, 4000))]
+    left = [(u, int(t) if t < 980 else None, k) for k, (u, t) in enumerate(zip(users, rng.integers(0, 1000, 4000)))]
+    right = sorted({(u, int(t)) for u, t in zip(users[:900], rng.integers(300, 1100, 900))}, key=str)
+    right = [(u, t, f"v{k}") for k, (u, t) in enumerate(right)]
+    a = spark.createDataFrame(left, "u long, t long, k long").repartition(4)
+    b = spark.createDataFrame([*right, (1, None, "never")], "u long, s long, v string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    try:
+        found = relational.asof_join(a, b, ["u"], "t", "s", ["v"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r.k: r.v for r in found.collect()}
+    last = lambda u, t: max(((s, v) for w, s, v in right if w == u and t is not None and s <= t), default=(0, None))[1]
+    assert got == {k: last(u, t) for u, t, k in left}
+
+    ranges = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in found.inputFiles()}).where("u = 1").groupBy("__range").count().collect()
+    assert len(ranges) >= 6 and max(r["count"] for r in ranges) < 4000 / 4
