@@ -105,7 +105,7 @@ def _extended(window: int) -> Callable:
                 near = np.zeros(len(b.h) + 1, np.int32)
                 for k, n in enumerate(b.sizes):
                     p = anchors[first + k].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                    p = p[p < n]  # another row of this id may be longer
+                    p = p[p < n]  # a row of equal hash may be longer
                     np.add.at(near, b.starts[k] + np.maximum(p - PERIOD + 1, 0), 1)
                     np.add.at(near, b.starts[k] + p + 1, -1)
                 at = np.flatnonzero((np.cumsum(near)[:-1] > 0) & (b.left >= window))
@@ -132,15 +132,14 @@ def _extended(window: int) -> Callable:
 def _cut(window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tags, hits = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3)
+            hits = batch.column(2)
             n_words, n_removed, kept = [], [], []
             for row, data in enumerate(batch.column(1)):
                 data = data.as_py() or b""
                 words = [w for part in slices(data) for w in part.split()]
                 n_words.append(len(words))
                 if hits[row].is_valid:
-                    cut = hits[row].values
-                    at = cut.field("at").to_numpy(zero_copy_only=False)[cut.field("tag").to_numpy(zero_copy_only=False) == tags[row]]
+                    at = hits[row].values.to_numpy(zero_copy_only=False)
                     edge = np.zeros(len(words) + 1, np.int32)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + window, -1)
@@ -166,27 +165,29 @@ def remove_repeated_windows(df: DataFrame, window: int = 20, id_col: str = "doc_
     ``window`` is at least 14 words. A null or empty text has no words. A null
     id is later than all others (ids are 64-bit integers; the largest of them
     counts as equal to null). Rows that share an id start equally early, so
-    neither is cut for the other's sake. Other columns of ``df`` are not read.
+    neither is cut for the other's sake; each row has its own anchors and hits,
+    found by a hash of id and text. Other columns of ``df`` are not read.
     """
     if window <= PERIOD:
         raise ValueError(f"window must be over {PERIOD} words")
     last = F.lit(2**63 - 1)
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
-    sent = docs.mapInArrow(_anchors(window), "key long, id long, at long")
+    docs = docs.withColumn("tag", F.xxhash64("id", "text"))
+
+    sent = docs.select("tag", "text").mapInArrow(_anchors(window), "key long, id long, at long")
     times = F.count(F.lit(1)).over(Window.partitionBy("key"))
     repeated = sent.withColumn("times", times).where((F.col("times") > 1) | (F.col("at") % 4 != ALONE))
     position = F.shiftright("at", 2).cast("int")
-    anchors = save(repeated.groupBy("id").agg(F.collect_list(position).alias("anchors")), "anchors")
+    anchors = save(repeated.groupBy(F.col("id").alias("tag")).agg(F.collect_set(position).alias("anchors")), "anchors")
 
-    tag = F.hash("text").alias("tag")
-    near = docs.join(anchors, "id").select("id", "text", tag, "anchors")
-    windows = near.mapInArrow(_extended(window), "key long, key2 int, id long, at long, tag int")
+    near = docs.join(anchors, "tag").select("id", "text", "tag", "anchors")
+    windows = near.mapInArrow(_extended(window), "key long, key2 int, id long, at long, tag long")
     earlier = F.rank().over(Window.partitionBy("key", "key2").orderBy("id", "at"))
     hits = windows.withColumn("place", earlier).where((F.col("place") > 1) | (F.col("at") % 4 == LATER))
-    hits = hits.groupBy("id").agg(F.collect_list(F.struct("tag", position.alias("at"))).alias("hits"))
+    hits = hits.groupBy("id", "tag").agg(F.collect_set(position).alias("hits"))
 
-    whole = docs.join(hits, "id", "left").select("id", "text", tag, "hits")
+    whole = docs.join(hits, ["id", "tag"], "left").select("id", "text", "hits")
     cut = whole.mapInArrow(_cut(window), "id long, n_words long, n_removed long, kept_text binary")
     return cut.select(
         F.nullif("id", last).alias(id_col), "n_words", "n_removed", F.col("kept_text").cast("string").alias("kept_text")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -53,6 +54,17 @@ def test_every_shift_shares_an_anchor():
     assert {(a - b) % substrings.PERIOD for a in substrings.COVER for b in substrings.COVER} == set(range(substrings.PERIOD))
 
 
+def test_many_rows_without_or_of_one_id(spark):
+    """Each keeps to its own anchors, so they take about as long as rows of different ids."""
+    rng = random.Random(9)
+    passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    rows = [(None if k % 2 else 7, " ".join([f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(30))] + [rng.choice(passages)])) for k in range(3000)]
+    df = spark.createDataFrame([*rows, *rows[:50]], "doc_id long, text string")
+    began = time.time()
+    assert result(df, 20) == brute([*rows, *rows[:50]], 20)
+    assert time.time() - began < 60
+
+
 def test_odd_rows(odd, none):
     from tests.llm.conftest import TEXTS
 
