@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm.words import groups
+from loomery.sources.scratch import save
 
 UPPER, LOWER, DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"
 SYMBOLS, MARKS, ENDS = b"#*$%&|<>@^~_=+\\{}[]", b"!?", (b".", b"!", b"?", b":", b'"')
@@ -205,9 +206,11 @@ def train(
     place = F.xxhash64(id_col, text_col).alias("place")
     rows = docs.select(id_col, F.col(text_col).cast("binary").alias("text"), place).join(F.broadcast(sample), id_col)
     rows = rows.select("text", "label", F.lit(fit_lines).alias("most"), "place").mapInArrow(_sampled, "place long, x binary, label int")
-    rows = rows.orderBy("place", "label").limit(fit_docs).collect()
+    rows = save(rows.orderBy("place", "label").limit(fit_docs).withColumn("row", F.monotonically_increasing_id()), "fit-sample")
+    sizes = rows.select("row", (F.octet_length("x") / (4 * WIDTH)).cast("long").alias("n")).orderBy("row").collect()
+    n = int(np.searchsorted(np.cumsum([r.n for r in sizes]), fit_total, "right"))
+    rows = rows.where(F.col("row") <= sizes[n - 1].row).orderBy("row").collect() if n else []  # no more comes to the driver
     x = [np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in rows]
-    n = int(np.searchsorted(np.cumsum([len(a) for a in x]), fit_total, "right"))
     sizes = np.array([len(a) for a in x[:n]], np.int64)
     return fit(np.concatenate(x[:n]) if n else np.empty((0, WIDTH)), sizes, np.array([r.label for r in rows[:n]], np.int64))
 

@@ -83,3 +83,16 @@ def test_a_text_of_a_million_lines(spark):
     docs = spark.range(1).select("id", F.repeat(F.lit("Some words here.\n"), 1_000_000).alias("text"))
     got = score_quality(docs, Field(np.zeros(3 * WIDTH), np.zeros((2, 2))), ["id"]).collect()
     assert [round(r.score, 6) for r in got] == [0.5]
+
+
+def test_no_more_than_fit_total_lines_are_fitted_on(spark, monkeypatch):
+    from loomery.llm import crf
+
+    seen = []
+    monkeypatch.setattr(crf, "fit", lambda x, sizes, labels: seen.append((len(x), sizes.sum(), len(labels))))
+    docs = spark.createDataFrame([(i, "a line\n" * (i % 9 + 1)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    for total in (50, 10**6, 0):
+        crf.train(docs, labels, fit_total=total)
+    assert 40 <= seen[0][0] <= 50 and seen[0][0] == seen[0][1] and seen[0][2] < 20
+    assert seen[1][2] == 60 and seen[2] == (0, 0, 0)
