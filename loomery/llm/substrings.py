@@ -32,6 +32,9 @@ from loomery.llm.words import FACTOR_A, FACTOR_B, groups, hash_words, mix, run_h
 PERIOD = 13
 COVER = (0, 1, 3, 9)
 
+#: Repeated ids (8 bytes each) that are broadcast.
+REPEATED = 500_000
+
 #: Kinds of a sent hash: alone in its batch, earliest of several there, or a later one.
 ALONE, FIRST, LATER = 0, 1, 2
 
@@ -154,6 +157,21 @@ def _cut(window: int) -> Callable:
     return run
 
 
+def _tagged(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``tag`` of each row: its id, or where several rows have that id a hash of id and text.
+
+    Ids are small numbers that compress well, so hashes take their place only
+    where they must: for the ids that repeat, or for all rows if too many do.
+    """
+    again = save(docs.groupBy("id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("id", F.lit(True).alias("again")), "repeated-ids")
+    n, own = again.count(), F.xxhash64("id", "text")
+    if n == 0:
+        return docs.withColumn("tag", F.col("id"))
+    if n > REPEATED:
+        return docs.withColumn("tag", own)
+    return docs.join(F.broadcast(again), "id", "left").withColumn("tag", F.when(F.col("again"), own).otherwise(F.col("id"))).drop("again")
+
+
 def remove_repeated_windows(df: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut every word that a window covers whose words also start earlier.
 
@@ -173,7 +191,7 @@ def remove_repeated_windows(df: DataFrame, window: int = 20, id_col: str = "doc_
     last = F.lit(2**63 - 1)
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
-    docs = docs.withColumn("tag", F.xxhash64("id", "text"))
+    docs = _tagged(docs)
 
     sent = docs.select("tag", "text").mapInArrow(_anchors(window), "key long, id long, at long")
     times = F.count(F.lit(1)).over(Window.partitionBy("key"))

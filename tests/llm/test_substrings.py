@@ -54,8 +54,10 @@ def test_every_shift_shares_an_anchor():
     assert {(a - b) % substrings.PERIOD for a in substrings.COVER for b in substrings.COVER} == set(range(substrings.PERIOD))
 
 
-def test_many_rows_without_or_of_one_id(spark):
+@pytest.mark.parametrize("repeated", [500_000, 1])
+def test_many_rows_without_or_of_one_id(spark, monkeypatch, repeated):
     """Each keeps to its own anchors, so they take about as long as rows of different ids."""
+    monkeypatch.setattr(substrings, "REPEATED", repeated)
     rng = random.Random(9)
     passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
     rows = [(None if k % 2 else 7, " ".join([f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(30))] + [rng.choice(passages)])) for k in range(3000)]
