@@ -20,12 +20,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.sources.scratch import save
 from loomery.llm.words import FACTOR_A, FACTOR_B, groups, hash_words, mix, run_hashes
 
+#: A table of bits for the items' prints has at most 2 to the power of this, that is 16 MB.
+FILTER_BITS = 27
 #: Digits, a-z and all bytes of other characters stay, A-Z is lowered, the rest parts words.
 TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -218,15 +221,32 @@ def _item_prints(window: int, gram: int) -> Callable:
     return run
 
 
-def _text_prints(lengths: list[int], window: int, gram: int) -> Callable:
-    """(x, y, text) to (x, y, n, p) for all lengths of windows."""
+def _filter_words(prints: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each print of ``prints`` (n, p) in a table of ``bits``, a power of two; built by the tasks, 64 bits a row."""
+    place = F.col("p").bitwiseAND(F.lit(bits - 1).cast("long"))
+    words = prints.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["w"].to_numpy()] = found["b"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _may_be(words: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """The ``prints`` whose bit is set."""
+    place = prints & np.uint64(64 * len(words) - 1)
+    return prints[(words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+
+
+def _text_prints(lengths: list[int], window: int, gram: int, held: Broadcast) -> Callable:
+    """(x, y, text) to (x, y, n, p) for all lengths of windows, only prints that an item may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = held.value
         for batch in batches:
             keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             for (x, y), text in zip(keys, batch.column(2).to_pylist(), strict=True):
                 h, left = _words_left(text)
-                yield _rows([(x, y, n, np.unique(prints_of(h, left, n, gram, window)[1])) for n in lengths], ["x", "y", "n", "p"])
+                yield _rows([(x, y, n, _may_be(words, np.unique(prints_of(h, left, n, gram, window)[1]))) for n in lengths], ["x", "y", "n", "p"])
 
     return run
 
@@ -253,7 +273,9 @@ def _joined(texts: DataFrame, items: DataFrame, window: int, gram: int) -> DataF
     windows = save(items.mapInArrow(_item_windows(window), "item string, n long, a long, b long"), "item-windows")
     prints = save(items.select("text").mapInArrow(_item_prints(window, gram), "n long, p long").distinct(), "item-prints")
     lengths = sorted(r.n for r in prints.select("n").distinct().collect())  # at most ``window`` numbers
-    own = texts.mapInArrow(_text_prints(lengths, window, gram), "x long, y long, n long, p long")
+    bits = 1 << max(6, min(FILTER_BITS, (16 * prints.count()).bit_length()))
+    held = texts.sparkSession.sparkContext.broadcast(_filter_words(prints, bits))
+    own = texts.mapInArrow(_text_prints(lengths, window, gram, held), "x long, y long, n long, p long")
     shared = own.join(prints, ["n", "p"], "left_semi").groupBy("x", "y").agg(F.collect_set(F.struct("n", "p")).alias("prints"))
     shared = save(shared, "shared-prints")
     near = texts.join(shared, ["x", "y"]).groupBy("x", "y").agg(F.first("text").alias("text"), F.first("prints").alias("prints"))

@@ -81,3 +81,17 @@ def test_empty_tables_and_columns(spark, odd, none):
     assert result(none, empty) == []
     kept = find_contamination(odd, empty, odd.columns).where(~is_contaminated()).select(*odd.columns)
     assert kept.count() == len(TEXTS) and kept.schema.simpleString() == odd.schema.simpleString()
+
+
+def test_only_prints_that_an_item_may_have_are_sent(spark):
+    import numpy as np
+
+    from loomery.llm.winnowing import _filter_words, _may_be
+
+    own = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 3000)
+    prints = spark.createDataFrame([(13, int(p)) for p in own], "n long, p long")
+    words = _filter_words(prints, 1 << 16)
+    assert len(_may_be(words, own.view(np.uint64))) == len(own)
+    others = np.random.default_rng(2).integers(0, 2**64 - 1, 50_000, dtype=np.uint64)
+    assert len(_may_be(words, others)) < 0.06 * len(others)
+    assert len(_may_be(_filter_words(prints.limit(0), 64), others)) == 0
