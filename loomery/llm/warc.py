@@ -37,13 +37,14 @@ def record(page_id: object, url: str | None, payload: bytes, digest: str, refers
     """A response, or a revisit that repeats the response's HTTP header without its payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    own = f"{ID}{page_id}" if page_id is not None else f"urn:uuid:{uuid.uuid4()}"
+    named = lambda i: ID + urllib.parse.quote(str(i), safe="")
+    own = named(page_id) if page_id is not None else f"urn:uuid:{uuid.uuid4()}"
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{own}>", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {urllib.parse.quote(url, safe='%/:=&?~#+!$,;@()*[]' + chr(39))}")
     lines.append(f"WARC-Payload-Digest: sha256:{digest}")
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <{ID}{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: <{named(refers_to)}>", f"WARC-Profile: {PROFILE}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -129,28 +130,37 @@ def _writing(folder: str, most_bytes: int) -> Callable:
     return run
 
 
-def _normalising(folder: str) -> Callable:
+def _normalising(folder: str, skip_damaged: bool) -> Callable:
+    def rewritten(store: fs.FileSystem, path: str, name: str) -> int:
+        offset, lines = 0, []
+        with store.open_input_stream(path, compression=None) as stream, store.open_output_stream(name, compression=None) as out:
+            for raw in split_records(inflate(stream)):
+                deflate = zlib.compressobj(6, zlib.DEFLATED, GZIP)
+                member = deflate.compress(raw) + deflate.flush()
+                out.write(member)
+                lines.append(f"{offset} {len(member)} {fields(raw[: raw.find(b'\r\n\r\n')])['warc-record-id']}\n")
+                offset += len(member)
+        with store.open_output_stream(f"{name}.idx", compression=None) as out:
+            out.write("".join(lines).encode())
+        return len(lines)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = fs.FileSystem.from_uri(folder)
         store.create_dir(at, recursive=True)
         for batch in batches:
             done = []
             for path in batch.column(0).to_pylist():
-                name, offset, lines = f"{at}/{uuid.uuid4().hex}.warc.gz", 0, []
-                with store.open_input_stream(path, compression=None) as stream, store.open_output_stream(name, compression=None) as out:
-                    for raw in split_records(inflate(stream)):
-                        deflate = zlib.compressobj(6, zlib.DEFLATED, GZIP)
-                        member = deflate.compress(raw) + deflate.flush()
-                        out.write(member)
-                        lines.append(f"{offset} {len(member)} {fields(raw[: raw.find(b'\r\n\r\n')])['warc-record-id']}\n")
-                        offset += len(member)
-                with store.open_output_stream(f"{name}.idx", compression=None) as out:
-                    out.write("".join(lines).encode())
-                done.append((name, f"{name}.idx", len(lines)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.int64())],
-                ["path", "index_path", "records"],
-            )
+                name = f"{at}/{uuid.uuid4().hex}.warc.gz"
+                try:
+                    done.append((path, name, f"{name}.idx", rewritten(store, path, name), None))
+                except (zlib.error, ValueError, KeyError) as error:  # what a damaged file gives
+                    if not skip_damaged:
+                        raise ValueError(f"{path} is damaged: {error}") from error
+                    store.delete_file(name)
+                    done.append((path, None, None, 0, str(error)))
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
+            columns = [pa.array([d[k] for d in done], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["source", "path", "index_path", "records", "error"])
 
     return run
 
@@ -163,7 +173,7 @@ def _reading(folder: str) -> Callable:
         for batch in batches:
             for path, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_stream(index, compression=None) as stream:
-                    places = [line.split(" ") for line in stream.read().decode().splitlines()]
+                    places = [line.split(" ", 2) for line in stream.read().decode().splitlines()]
                 rows, size = [], 0
                 with store.open_input_file(path) as file:
                     for offset, length, own in places:
@@ -207,20 +217,23 @@ def write_monolithic(pages: DataFrame, folder: str, most_bytes: int = 64 << 20)
     return save(pages.mapInArrow(_writing(folder, most_bytes), "path string, records long"), "monolithic")
 
 
-def normalise(files: DataFrame, folder: str) -> DataFrame:
+def normalise(files: DataFrame, folder: str, skip_damaged: bool = False) -> DataFrame:
     """Rewrite whole-file gzip WARCs with a member for each record and a sidecar index.
 
     Files that have members already, or several records to a member, do as well.
-    Returns ``path``, ``index_path`` and ``records``.
+    Returns ``source``, ``path``, ``index_path``, ``records`` and ``error``. A
+    file that ends early or isn't one of records raises with its path; with
+    ``skip_damaged`` it has its ``error`` and no path, and read_records() leaves
+    it out.
     """
-    schema = "path string, index_path string, records long"
-    return save(_dealt(files).select("path").mapInArrow(_normalising(folder), schema), "normalised")
+    schema = "source string, path string, index_path string, records long, error string"
+    return save(_dealt(files).select("path").mapInArrow(_normalising(folder, skip_damaged), schema), "normalised")
 
 
 def read_records(files: DataFrame, folder: str) -> DataFrame:
     """One row for each record that the indexes name, read by its offset and verified."""
     schema = "record_id string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary"
-    return _dealt(files).select("path", "index_path").mapInArrow(_reading(folder), schema)
+    return _dealt(files.where("path IS NOT NULL")).select("path", "index_path").mapInArrow(_reading(folder), schema)
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -231,7 +244,8 @@ def archive_pages(pages: DataFrame, least_bytes: int = 100, id_col: str = "page_
     at least ``least_bytes`` bytes the smallest id is a response, others revisit
     it; smaller payloads are responses.
 
-    A null html is an empty payload. Rows that share the smallest id are all
+    Ids may be of any type that casts to text and back. A null html is an empty
+    payload. Rows that share the smallest id are all
     responses; a row without an id is a response unless a row with an id has its
     payload. Other columns are not read. The payloads move once, to be joined by
     digest with the digests that repeat; a repeated digest of many rows is split
@@ -250,6 +264,6 @@ def archive_pages(pages: DataFrame, least_bytes: int = 100, id_col: str = "page_
     first, second = new_path(spark, "warc-monolithic"), new_path(spark, "warc")
     files = normalise(write_monolithic(joined, first), second)
     delete(spark, first)
-    own = lambda c: F.when(F.startswith(F.col(c), F.lit(ID)), F.substring(F.col(c), len(ID) + 1, 1 << 20)).cast(kind)
+    own = lambda c: F.when(F.startswith(F.col(c), F.lit(ID)), F.url_decode(F.substring(F.col(c), len(ID) + 1, 1 << 20))).cast(kind)
     records = read_records(files, second)
     return records.select(own("record_id").alias("page_id"), "record_type", "payload_bytes", "payload_digest", own("refers_to").alias("refers_to"), "payload")

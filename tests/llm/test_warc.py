@@ -53,3 +53,38 @@ def test_any_gzip_members_are_inflated():
     assert parse(raws[0])[3] == b"payload 1" and parse(raws[1])[0] == "revisit"
     with pytest.raises((ValueError, EOFError)):
         list(split_records(inflate(io.BytesIO(stream[:-9]))))
+
+
+def test_ids_of_any_characters(spark):
+    ids = ["a b", "x\r\ny: z", "<1>", "ü+%41", "", "a b c"]
+    df = spark.createDataFrame([(i, None, BIG if k % 2 else "short") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in archive_pages(df).collect()}
+    assert got == {i: ("revisit", min(ids[1::2])) if k % 2 and i != min(ids[1::2]) else ("response", None) for k, i in enumerate(ids)}
+
+
+def test_damaged_files_are_named(spark):
+    import zlib
+    from pathlib import Path
+
+    from loomery.llm.warc import normalise, read_records
+    from loomery.sources.scratch import new_path
+
+    folder = Path(new_path(spark, "damaged").removeprefix("file:"))
+    folder.mkdir(parents=True)
+    whole = gzip.compress(b"".join(record(k, None, b"text", hashlib.sha256(b"text").hexdigest(), None) for k in range(3)))
+    broken = {"cut": whole[:-30], "noise": b"no gzip", "torn": gzip.compress(zlib.decompress(whole, 31)[:-9]), "good": whole}
+    for name, data in broken.items():
+        (folder / name).write_bytes(data)
+    files = spark.createDataFrame([(str(folder / n),) for n in broken], "path string")
+    out = new_path(spark, "normalised")
+    done = {Path(r.source).name: (r.records, r.error) for r in normalise(files, out, skip_damaged=True).collect()}
+    assert done["good"] == (3, None) and all(done[n][0] == 0 and done[n][1] for n in ("cut", "noise", "torn"))
+    assert read_records(normalise(files, out, skip_damaged=True), out).count() == 3
+    with pytest.raises(Exception, match="is damaged"):
+        normalise(files, out)
+
+
+def test_a_long_page(spark):
+    html = "<p>" + "words " * 3_000_000
+    row = archive_pages(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).first()
+    assert row.payload_bytes == len(html) and row.payload_digest == hashlib.sha256(html.encode()).hexdigest()
