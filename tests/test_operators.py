@@ -274,3 +274,20 @@ def test_asof_join_of_one_key_in_many_ranges(spark):
 
     ranges = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in found.inputFiles()}).where("u = 1").groupBy("__range").count().collect()
     assert len(ranges) >= 6 and max(r["count"] for r in ranges) < 4000 / 4
+
+
+def test_mmr_equals_a_greedy_choice_in_numpy(spark):
+    near = vectors.knn(vector_plans.asked(spark, SF), vector_plans.base(spark, SF), 20)
+    near = near.join(vector_plans.base(spark, SF).select("vec_id", "embedding"), "vec_id")
+    got = {(r.query_id, r.place): r.vec_id for r in vectors.mmr(near, 0.6, 5).collect()}
+    want, short = {}, {}
+    for r in near.collect():
+        short.setdefault(r.query_id, []).append((r.vec_id, r.score, np.array(r.embedding) / np.linalg.norm(r.embedding)))
+    for query, rows in short.items():
+        picked = []
+        for place in range(1, 6):
+            worth = lambda row: 0.6 * row[1] - 0.4 * max((row[2] @ p[2] for p in picked), default=0)  # noqa: E731, B023
+            best = max((r for r in rows if all(r[0] != p[0] for p in picked)), key=worth)
+            picked.append(best)
+            want[query, place] = best[0]
+    assert got == want
