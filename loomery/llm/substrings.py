@@ -158,7 +158,7 @@ def _cut(window: int) -> Callable:
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
-    """``docs`` with a ``tag`` of each row: its id, or where several rows have that id a hash of id and text.
+    """``docs`` with a ``tag`` of each row: its id, or where several rows have that id a 64-bit hash of id and text.
 
     Ids are small numbers that compress well, so hashes take their place only
     where they must: for the ids that repeat, or for all rows if too many do.
@@ -199,13 +199,14 @@ def remove_repeated_windows(df: DataFrame, window: int = 20, id_col: str = "doc_
     position = F.shiftright("at", 2).cast("int")
     anchors = save(repeated.groupBy(F.col("id").alias("tag")).agg(F.collect_set(position).alias("anchors")), "anchors")
 
+    # both joins shuffle the texts by their tags, so that is done once
     near = docs.join(anchors, "tag").select("id", "text", "tag", "anchors")
     windows = near.mapInArrow(_extended(window), "key long, key2 int, id long, at long, tag long")
     earlier = F.rank().over(Window.partitionBy("key", "key2").orderBy("id", "at"))
     hits = windows.withColumn("place", earlier).where((F.col("place") > 1) | (F.col("at") % 4 == LATER))
-    hits = hits.groupBy("id", "tag").agg(F.collect_set(position).alias("hits"))
+    hits = hits.groupBy("tag").agg(F.collect_set(position).alias("hits"))
 
-    whole = docs.join(hits, ["id", "tag"], "left").select("id", "text", "hits")
+    whole = docs.join(hits, "tag", "left").select("id", "text", "hits")
     cut = whole.mapInArrow(_cut(window), "id long, n_words long, n_removed long, kept_text binary")
     return cut.select(
         F.nullif("id", last).alias(id_col), "n_words", "n_removed", F.col("kept_text").cast("string").alias("kept_text")
