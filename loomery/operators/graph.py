@@ -188,10 +188,10 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, m
     points at costs no more than others; what a node sends is joined by source,
     where a large one may be split.
     """
-    links = edges.groupBy("src", "dst").agg(F.lit(1).alias("w"))
+    links = save(edges.select("src", "dst").distinct(), "links")
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     links = save(links.join(out, "src").select("src", "dst", (damping / F.col("out")).alias("share")), "links")
-    ends = links.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.lit(1).alias("w"))
+    ends = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     state = save(ends.select("id", F.lit(0.0).alias("rank"), F.lit(1.0).alias("rest")), "ranks")
     active = F.col("rest") > tolerance
     for _ in range(most_rounds):
