@@ -64,3 +64,27 @@ def lateral_top(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     """
     own = right.where(F.col(right_on) == F.col(left_on).outer()).orderBy(*order).limit(k)
     return left.lateralJoin(own)
+
+
+def medians(df: DataFrame, by: str, value: str) -> DataFrame:
+    """``by``, ``median``: the exact median of the values that aren't null, as ``percentile`` has it; null for none.
+
+    Equal values are counted and dealt into ranges of (``by``, value). The
+    ranges' sums tell which hold the middle of each group, and only these are
+    counted through, so no task holds the values of a group.
+    """
+    counts = df.groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = save(counts.repartitionByRange("g", "v").withColumn("r", F.spark_partition_id()), "value-counts")
+    there = counts.where("v IS NOT NULL")
+    own = Window.partitionBy("g")
+    sums = there.groupBy("g", "r").agg(F.sum("n").alias("n"))
+    sums = sums.select("g", "r", F.sum("n").over(own).alias("total"), (F.sum("n").over(own.orderBy("r")) - F.col("n")).alias("before"), "n")
+    sums = sums.withColumn("low", F.floor((F.col("total") - 1) / 2)).withColumn("high", F.ceil((F.col("total") - 1) / 2))
+    middle = sums.where("before <= high AND before + n > low").select(F.col("g").alias("mg"), F.col("r").alias("mr"), "before", "low", "high")
+    held = there.join(middle, F.col("g").eqNullSafe(F.col("mg")) & (F.col("r") == F.col("mr")))
+    held = held.withColumn("end", F.col("before") + F.sum("n").over(Window.partitionBy("g", "r").orderBy("v")))
+    at = lambda place: F.max(F.when((F.col("end") - F.col("n") <= F.col(place)) & (F.col("end") > F.col(place)), F.col("v")))
+    found = held.groupBy("g").agg(at("low").alias("a"), at("high").alias("b"))
+    found = found.select(F.col("g").alias("fg"), F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * 0.5 + F.col("b") * 0.5).alias("median"))
+    groups = counts.select("g").distinct()
+    return groups.join(found, F.col("g").eqNullSafe(F.col("fg")), "left").select(F.col("g").alias(by), "median")

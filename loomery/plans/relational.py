@@ -228,17 +228,21 @@ def json(s: SparkSession, d: str) -> DataFrame:
 
 def sketches(s: SparkSession, d: str) -> DataFrame:
     """Estimates beside the exact figures."""
-    rows = load(s, d, "lineitem").groupBy("l_returnflag").agg(
+    lines = load(s, d, "lineitem")
+    estimates = lines.groupBy("l_returnflag").agg(
         F.approx_count_distinct("l_partkey", 0.02).alias("n_estimate"),
-        F.countDistinct("l_partkey").alias("n_exact"),
         F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("hll"),
         F.percentile_approx("l_extendedprice", 0.5, 10000).alias("median_estimate"),
-        F.expr("percentile(l_extendedprice, 0.5)").alias("median_exact"),
         F.expr("theta_sketch_estimate(theta_sketch_agg(l_partkey))").alias("theta"),
         F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(CAST(l_extendedprice AS DOUBLE)), 0.5D)").alias("kll_median"),
         F.expr("approx_top_k(l_linenumber, 3)").alias("top_lines"),
     )
-    return rows
+    # apart, as beside a distinct count every part of a flag would have sketches of its own
+    counts = lines.groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("n_exact"))
+    medians = ops.medians(lines, "l_returnflag", "l_extendedprice").withColumnRenamed("median", "median_exact")
+    found = estimates.alias("e").join(counts.alias("c"), F.col("e.l_returnflag").eqNullSafe(F.col("c.l_returnflag")))
+    found = found.join(medians.alias("m"), F.col("e.l_returnflag").eqNullSafe(F.col("m.l_returnflag")))
+    return found.select("e.l_returnflag", "n_estimate", "n_exact", "hll", "median_estimate", "median_exact", "theta", "kll_median", "top_lines")
 
 
 def sql_function(s: SparkSession, d: str) -> DataFrame:

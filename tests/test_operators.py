@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import timedelta
 
 import numpy as np
@@ -238,6 +239,25 @@ def test_sketches_are_near_the_exact_figures(spark):
         assert [t["count"] for t in r.top_lines] == counts[:3]
 
 
+def test_medians_equal_percentile(spark):
+    rng = random.Random(4)
+    rows = [(g, rng.choice([None, float(rng.randrange(20)), rng.random()])) for g in (None, "a", "b", "c") for _ in range(rng.randrange(200, 300))]
+    rows += [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None), ("same", 5.0), ("same", 5.0), ("nan", float("nan")), ("nan", 1.0), ("nan", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.median for r in relational.medians(df, "g", "v").collect()}
+    want = {r.g: r.p for r in df.groupBy("g").agg(F.expr("percentile(v, 0.5)").alias("p")).collect()}
+    assert len(got) == 9 and got == want
+    assert relational.medians(df.limit(0), "g", "v").collect() == []
+
+
+def test_sketches_stand_apart_from_the_distinct_count(spark):
+    """Beside a distinct count in one aggregate, each part of a flag would have sketches of its own, and the exact median its values in one task."""
+    plan = relational_plans.sketches(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    kept = [x for x in plan.splitlines() if "theta_sketch" in x and "Aggregate" in x]
+    assert kept and not [x for x in kept if "l_partkey#" in x.split("functions=")[0]]
+    assert " percentile(" not in plan
+
+
 def test_hybrid_and_recall(spark):
     a = spark.createDataFrame([(1, 1), (2, 2)], "id long, place int")
     b = spark.createDataFrame([(2, 1), (3, 2)], "id long, place int")
